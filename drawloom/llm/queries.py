@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawloom.functions.keys import key, key_sql
-from drawloom.llm import distinct, percentiles, topn
+from drawloom.llm import distinct, packing, percentiles, pii, tokenize, topn
 from drawloom.sources.tables import table
+from drawloom.storage import written
 
 PROBS = [0.5, 0.9, 0.95, 0.99]
 
@@ -163,6 +164,49 @@ k AS (SELECT *, row_number() OVER (PARTITION BY prng_type, seed ORDER BY s DESC,
 SELECT prng_type, seed, CAST(rank_no AS INTEGER) AS rank_no, id FROM k WHERE rank_no <= 3"""
 
 
+CAPACITY = 2048
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document's text."""
+    return tokenize.encode(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, or piece of one above the capacity, with its container. Token counts are written once; the number of groups follows their number."""
+    sizes = written(tokenize.encode(table(spark, folder, "documents"), "doc_id", "text", count_only=True), "sizes")
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).withColumnRenamed("n_units", "n_tokens")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used against the least number that could hold all tokens, and the greatest and total load."""
+    box = p7_containers(spark, folder).groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    return box.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("load") / CAPACITY).alias("least"), F.max("load").alias("fullest"), F.sum("load").alias("tokens"))
+
+
+#: A key for tests; a deployment gives its own.
+SECRET = "not a secret"
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per place with personal information."""
+    parts = pii.lexicon(table(spark, folder, "name_parts"))
+    p = pii.places(table(spark, folder, "documents"), "doc_id", "text", parts)
+    return p.select("doc_id", F.explode("places").alias("p")).select("doc_id", F.col("p.kind").alias("pii_kind"), "p.start_pos", "p.end_pos")
+
+
+def p8_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with typed placeholders in the place of personal information."""
+    parts = pii.lexicon(table(spark, folder, "name_parts"))
+    return pii.places(table(spark, folder, "documents"), "doc_id", "text", parts, mask=True).select("doc_id", F.col("masked").alias("text"))
+
+
+def p8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with keyed surrogates in the place of personal information."""
+    parts = pii.lexicon(table(spark, folder, "name_parts"))
+    return pii.surrogates(table(spark, folder, "documents"), "doc_id", "text", parts, SECRET)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_distinct_seeds": p1_distinct_seeds,
@@ -170,6 +214,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_percentiles": p2_percentiles,
         "p2_rank_check": p2_rank_check,
         "p3_found": p3_found,
+        "p6_ids": p6_ids,
+        "p7_containers": p7_containers,
+        "p7_fill": p7_fill,
+        "p8_found": p8_found,
+        "p8_masked": p8_masked,
+        "p8_surrogates": p8_surrogates,
     }
 
 
