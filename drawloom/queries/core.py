@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawloom.functions.keys import key, key_sql
-from drawloom.operators import references
+from drawloom.operators import references, schema_drift
 from drawloom.sources.tables import table
+from drawloom.storage import written
 
 
 def _attempts(spark: SparkSession, folder: str, field: str) -> DataFrame:
@@ -57,8 +58,40 @@ def _p4_sql() -> str:
  WHERE {key_sql('fingerprint')} IS NOT NULL AND {key_sql('fingerprint')} NOT IN (SELECT {key_sql('fingerprint')} FROM attempts WHERE {key_sql('fingerprint')} IS NOT NULL)"""
 
 
+_DRIFTING = ["watcher_training_incidents", "feature_registry"]
+
+
+def _fields(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    out = None
+    for n in names:
+        d = schema_drift.file_fields(table(spark, folder, n), n)
+        out = d if out is None else out.unionByName(d)
+    return written(out, "fields")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every change between a writer's file and the one before it."""
+    return schema_drift.changes(_fields(spark, folder, _DRIFTING))
+
+
+def _p5_records(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    f = _fields(spark, folder, [name])
+    rows = table(spark, folder, name).dropDuplicates(["writer_id", "file_no", "line_no", "raw"])
+    return schema_drift.consistent(rows, f, schema_drift.changes(f), ["writer_id", "file_no", "line_no"])
+
+
+def p5_incidents(spark: SparkSession, folder: str) -> DataFrame:
+    """All incident records in one consistent table."""
+    return _p5_records(spark, folder, "watcher_training_incidents")
+
+
+def p5_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """All feature registries in one consistent table."""
+    return _p5_records(spark, folder, "feature_registry")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_counts": p4_counts}
+    return {"p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_incidents": p5_incidents, "p5_registry": p5_registry}
 
 
 def oracle_sql() -> dict[str, str]:
