@@ -291,6 +291,14 @@ def jumps(affine: tuple[int, int, int, int], positions: list[int]) -> dict[int,
     return out
 
 
+def jumped(f: Family, seed: np.ndarray, a: int, c: int) -> np.ndarray:
+    """Outputs after a jump, for a batch of reduced seeds; products wrap at 2^64, which a power-of-two modulus doesn't mind."""
+    _, _, m, shift = f.affine
+    x = seed * U64(a) + U64(c)
+    x = x & U64(m - 1) if m & (m - 1) == 0 else x % U64(m)
+    return (x >> U64(shift)) & M32
+
+
 def affine_output(family: str, seed: Column, a: int, c: int) -> Column:
     """The output after a jump, in 24-bit limbs where the product would pass 63 bits (ANSI arithmetic must not overflow)."""
     _, _, m, shift = FAMILIES[family].affine

@@ -3,8 +3,9 @@
 A seed's row stands for itself: for each skip its outputs at positions p(i) = offset + skip + i (skip + 1) + 1 are compared with
 the values modulo 1000, matches are counted, and the best skip (the lowest one on ties) is kept. So a sieve is a map over a range
 of seeds, without any join or shuffle, whatever the size of the space; the values of the window (a parameter's worth) and the jump
-constants are literals in it. Congruential families run as one generated expression, with jump-ahead; the others as NumPy over
-Arrow batches that step all seeds at once and share positions between skips.
+constants are literals in it. It runs as NumPy over Arrow batches, all seeds of a batch at once; positions are shared between skips.
+Congruential families jump to each position, the others step there. (One generated column expression for all comparisons was
+tried: it outgrows the compiler's method limit and was 25 times slower.)
 
 The reverse pass is the same over the values in reverse order. Thresholds are compared as whole matches, ceil(t k).
 """
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 
 from drawloom.operators import generators as G
 
-#: Beyond so many comparisons a seed, an expression would be too large to compile well.
-MOST_TERMS = 600
 SCHEMA = "seed bigint, matches int, best_skip int"
 
 
@@ -44,51 +43,33 @@ def fixed_skip(seeds: DataFrame, values: list[int], family: str, skips: tuple[in
     """seed, matches, total, match_rate, best_skip of the seeds whose best skip reaches the threshold."""
     values = [v % 1000 for v in (values[::-1] if reverse else values)]
     k, lo, hi = len(values), *skips
-    spec = G.FAMILIES[family]
-    if spec.affine and k * (hi - lo + 1) <= MOST_TERMS:
-        out = _affine(seeds, values, family, lo, hi, offset, burn_between)
-    else:
-        out = _stepped(seeds, values, family, lo, hi, offset, burn_between)
+    out = _stepped(seeds, values, family, lo, hi, offset, burn_between)
     need = least_matches(threshold, k)
     return out.where(F.col("matches") >= need).select("seed", "matches", F.lit(k).alias("total"), (F.col("matches") / k).alias("match_rate"), "best_skip")
 
 
-def _affine(seeds: DataFrame, values: list[int], family: str, lo: int, hi: int, offset: int, burn: bool) -> DataFrame:
-    x = seeds.select("seed", G.affine_seed(family, F.col("seed")).alias("_s"))
-    at = {s: positions(len(values), s, offset, burn) for s in range(lo, hi + 1)}
-    jump = G.jumps(G.FAMILIES[family].affine, [p for ps in at.values() for p in ps])
-    best = None
-    # matches * 4096 - skip orders by matches, then by the lower skip
-    for s, ps in at.items():
-        n = F.lit(0)
-        for p, v in zip(ps, values):
-            n = n + (G.affine_output(family, F.col("_s"), *jump[p]) % 1000 == v).cast("int")
-        score = n * 4096 - s
-        best = [score] if best is None else [*best, score]
-    top = F.greatest(*best) if len(best) > 1 else best[0]
-    x = x.select("seed", top.alias("_top"))
-    matches = F.ceil(F.col("_top") / 4096).cast("int")
-    # without any match the lowest skip counts as skip 0
-    return x.select("seed", matches.alias("matches"), F.when(matches > 0, matches * 4096 - F.col("_top")).otherwise(0).cast("int").alias("best_skip"))
-
-
 def _stepped(seeds: DataFrame, values: list[int], family: str, lo: int, hi: int, offset: int, burn: bool) -> DataFrame:
     wanted: dict[int, list[tuple[int, int]]] = {}
     for s in range(lo, hi + 1):
         for p, v in zip(positions(len(values), s, offset, burn), values):
             wanted.setdefault(p, []).append((s - lo, v))
-    last, size = max(wanted), G.FAMILIES[family].batch
+    order, spec = sorted(wanted), G.FAMILIES[family]
+    jump = G.jumps(spec.affine, order) if spec.affine else {}
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in G.batches(it, size):
+        for pdf in G.batches(it, spec.batch):
             seed = pdf["seed"].to_numpy()
-            g, hits = G.FAMILIES[family].stepper(seed), np.zeros((hi - lo + 1, len(seed)), np.int32)
-            for p in range(1, last + 1):
-                out = g.step()
-                if p in wanted:
+            g, hits, at = spec.stepper(seed), np.zeros((hi - lo + 1, len(seed)), np.int16), 0
+            first = g.x % G.U64(spec.affine[2]) if jump else None
+            for p in order:
+                if jump:
+                    r = G.jumped(spec, first, *jump[p]) % G.U64(1000)
+                else:
+                    while at < p:
+                        out, at = g.step(), at + 1
                     r = out % G.U64(1000)
-                    for s, v in wanted[p]:
-                        hits[s] += r == v
+                for s, v in wanted[p]:
+                    hits[s] += r == v
             best = hits.argmax(axis=0)
             top = hits[best, np.arange(len(seed))]
             yield pd.DataFrame({"seed": seed, "matches": top.astype("int32"), "best_skip": np.where(top > 0, best + lo, 0).astype("int32")})
