@@ -112,7 +112,7 @@ def hybrid(seeds: DataFrame, values: list[int], family: str, threshold: float, s
             yield pd.DataFrame(
                 {
                     "seed": seed[ok], "matches": best[ok].astype("int32"), "total": np.int32(k), "match_rate": best[ok] / k, "strategy_id": which[ok].astype("int32"),
-                    "strategy_name": [strategies[i][0] for i in which[ok]], "skip_pattern": [[int(x) for x in pattern[i] if x >= 0] for i in ok],
+                    "strategy_name": pd.Series([strategies[i][0] for i in which[ok]], dtype=object), "skip_pattern": pd.Series([[int(x) for x in pattern[i] if x >= 0] for i in ok], dtype=object),
                 }
             )
 

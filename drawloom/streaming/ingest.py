@@ -30,8 +30,8 @@ def read_raw(spark: SparkSession, folder: str, stream: bool = True, fmt: str = "
 def parse_text(line: Column) -> Column:
     """Digits of ``1 2 3``, ``1,2,3`` or ``123``."""
     parts = F.split(F.trim(line), r"[,\s]+")
-    one = F.regexp_extract(F.trim(line), r"^(\d)(\d)(\d)$", 0) != ""
-    return F.when(one, F.transform(F.split(F.trim(line), "(?!^)"), lambda x: x.cast("int"))).otherwise(F.transform(parts, lambda x: x.try_cast("int")))
+    one = F.regexp_extract_all(F.trim(line), F.lit(r"\d"), F.lit(0))
+    return F.transform(F.when(F.trim(line).rlike(r"^\d{3}$"), one).otherwise(parts), lambda x: x.try_cast("int"))
 
 
 def validate(df: DataFrame) -> DataFrame:
