@@ -86,7 +86,7 @@ _FR_LINK = r"(?:de la |de l['’]|de |du |des |d['’])"
 _ADDRESS_FR = re.compile(rf"{_HOUSE}(?: ?(?:bis|ter|quater)(?!\w))?,? {_FR_WAY} ((?:{_FR_LINK})?{_NAMEWORD}(?: (?:{_FR_LINK})?{_NAMEWORD}){{0,4}})", re.I)
 _FR_TAIL = re.compile(rf"(?i:{_FR_LINK})?(?:[A-ZÀ-ÖØ-Þ][\w'’-]*(?: (?i:{_FR_LINK})?[A-ZÀ-ÖØ-Þ][\w'’-]*){{0,3}}|[^\W\d_][\w'’-]*(?: (?!(?:is|and|not|hacia|or|und|et|y)\b)(?:{_FR_LINK})?[a-zß-öø-ÿ][\w'’-]*){{0,2}})")
 _ADDRESS_DE = re.compile(r"(?:(?<!\w)(?:Alte[rns]?|Neue[rns]?|Am|An der|Auf der|Gro(?:ß|ss)e|Kleine|Obere|Untere|Hintere|Lange) )?(?<!\w)[^\W\d_][\w-]*?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|ufer|damm|stieg|ring)(?<!\sweg)(?<!\sring) \d{1,4} ?[a-zA-Z]?(?!\w)", re.I)
-_ADDRESS_ES = re.compile(r"(?<!\w)(?:calle|c/|c\.|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|ronda|traves[íi]a|carrera) ?(?:(?:de los|de las|de la|del|de) )?[^\W\d_][\w'’-]*(?: (?:(?:de los|de las|de la|del|de) )?[^\W\d_][\w'’-]*){0,3},? (?:n\.? ?[ºo°]\.? ?|núm\.? ?)?\d{1,4}(?!\w)(?: ?(?:bis))?(?:, ?\d{1,2}\.? ?[ºª°]\.?(?: ?[A-Z](?!\w))?)?", re.I)
+_ADDRESS_ES = re.compile(r"(?<!\w)(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|ronda|traves[íi]a|carrera) ?(?:(?:de los|de las|de la|del|de) )?[^\W\d_][\w'’-]*(?: (?:(?:de los|de las|de la|del|de) )?[^\W\d_][\w'’-]*){0,3},? (?:n\.? ?[ºo°]\.? ?|núm\.? ?)?\d{1,4}(?!\w)(?: ?(?:bis))?(?:, ?\d{1,2}\.? ?[ºª°]\.?(?: ?[A-Z](?!\w))?)?", re.I)
 
 # ---- names -----------------------------------------------------------------------------------------------------------
 
@@ -99,7 +99,7 @@ _NOT_GIVEN = frozenset(
     "fiche for form from gracias grace hello hi hola i in is it its kontakt la laut le les llama mail merci mit name no note notes of off on operator or "
     "owner para per please por que questions rappeler re reporter reviewed reviewer relu said says see según segun selon ship signed since so talked "
     "team thanks the then to und une user von von was we when who with y you your et bei au aux an am from if not only via this that "
-    "revisado rückruf geprüft payroll copy until up while than about his her their our new starter engineer engineers visitor keys".split()
+    "revisado ruckruf gepruft segun payroll copy until up while than about his her their our new starter engineer engineers visitor keys".split()
 ) - {"grace"}
 #: Everyday given names, for texts in which no family name of the lexicon's kinds follows. A fixed list.
 _MORE_GIVEN = frozenset(
@@ -111,6 +111,12 @@ _MORE_GIVEN = frozenset(
     "jurgen wolfgang ursula monika petra stefan andreas markus lena lukas felix moritz sabine ingrid pierre jean marie claire camille julien nicolas "
     "antoine louis chloe manon lea hugo lucas jules margaux helene francois amelie bjarne heike ulrike greta frieda detlef anneliese cormac brenna".split()
 )
+#: Everyday family names, of which the second line are ordinary words as well. A fixed list.
+_MORE_FAMILY = frozenset(
+    "smith jones taylor brown williams wilson johnson davies evans thomas roberts walker robinson thompson hughes edwards garcia martinez lopez gonzalez rodriguez perez "
+    "stone marsh brook brooks wood woods hill lake rivers banks frost snow summers west north moor heath forest ford glen vale shaw bush fox wolf swift "
+    "sanchez ramirez torres fernandez gomez muller schmidt schneider fischer weber meyer wagner becker schulz hoffmann dubois moreau laurent lefebvre".split()
+)
 _NAME_GAP = re.compile(r"[ \t   ]{1,3}$|[ \t ]?\r?\n[ \t]?$")
 
 
@@ -125,17 +131,18 @@ class Names:
     def __init__(self, parts: list[tuple[str, str, str]]):
         self.given = {fold(p) for p, kind, _ in parts if kind == "given"} | _MORE_GIVEN
         self.family = {fold(p) for p, kind, _ in parts if kind == "family"}
+        self.ordinary = {fold(w) for w in _ORDINARY} | (_MORE_FAMILY - self.family)
         ends: dict[str, set[str]] = defaultdict(set)
         for w in self.family:
             for i in range(3, len(w) - 1):
                 ends[w[i:]].add(w[:i])
         # beginnings that take several long endings of which each is shared; then all endings after such beginnings
-        shared = {e for e, b in ends.items() if len(b) >= 4 and len(e) >= 4}
+        shared = {e for e, b in ends.items() if len(b) >= 3 and len(e) >= 4}
         heads: dict[str, set[str]] = defaultdict(set)
         for e in shared:
             for b in ends[e]:
                 heads[b].add(e)
-        first = {b for b, e in heads.items() if len(e) >= 2}
+        first = set(heads)
         self.heads = {b for b in first if not any(b != a and b.startswith(a) and heads[b] <= {x[len(b) - len(a) :] for x in heads[a]} for a in first)}
         tails: dict[str, set[str]] = defaultdict(set)
         for w in self.family:
@@ -143,6 +150,7 @@ class Names:
                 if w.startswith(b) and len(w) > len(b) + 1:
                     tails[w[len(b) :]].add(b)
         self.tails = {e for e, b in tails.items() if len(b) >= 2}
+        self.family |= _MORE_FAMILY
         self._seen: dict[str, int] = {}
 
     def kind(self, w: str) -> int:
@@ -206,23 +214,17 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int]]:
     while i < n:
         s, e, w = toks[i]
         k = names.kind(w)
-        # an unknown word in capitals straight after a given name
-        if (
-            not k & 2
-            and i - 1 >= done
-            and w[0].isupper()
-            and len(w) > 2
-            and names.kind(toks[i - 1][2]) & 1
-            and toks[i - 1][2][0].isupper()
-            and (w.isupper() == toks[i - 1][2].isupper())
-            and joined(i - 1)
-            and "\n" not in gap(i - 1)
-            and fold(w) not in _NOT_FAMILY
-            and not (k & 1 and i + 1 < n and joined(i) and names.kind(toks[i + 1][2]) & 2)
-        ):
-            yield toks[i - 1][0], e
-            done = i = i + 1
-            continue
+        # an unknown word in capitals after a given name, straight or after initials and particles
+        if not k & 2 and w[0].isupper() and len(w) > 2 and fold(w) not in _NOT_FAMILY and i - 1 >= done and joined(i - 1) and "\n" not in gap(i - 1):
+            m = i - 1
+            while m - 1 >= done and joined(m - 1) and i - m < 4 and (initial(m) or toks[m][2] in _PARTICLES):
+                m -= 1
+            g = toks[m][2]
+            next_family = k & 1 and i + 1 < n and joined(i) and names.kind(toks[i + 1][2]) & 2
+            if names.kind(g) & 1 and g[0].isupper() and len(g) > 1 and w.isupper() == g.isupper() and not next_family:
+                yield toks[m][0], e
+                done = i = i + 1
+                continue
         if not k & 2 or (w[0].islower() and k & 1 and not k & 4):
             i += 1
             continue
@@ -236,7 +238,7 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int]]:
             while m >= done and joined(m) and initial(m) and m > done and joined(m - 1) and (initial(m - 1) or given(m - 1, True)):
                 m -= 1
             plain = w[0].islower()
-            firm = k & 4 or w not in _ORDINARY
+            firm = k & 4 or fold(w) not in names.ordinary
             if given(m, firm and not plain) or (plain and k & 2 and given(m, False)):
                 found = m
                 if m - 1 >= done and joined(m - 1) and names.kind(toks[m - 1][2]) & 1 and not names.kind(toks[m][2]) & 2 and (toks[m - 1][2][0].isupper() or plain):
