@@ -38,7 +38,7 @@ _EMAIL = [
     re.compile(rf"{_LOCAL}(?: ?[@＠] ?| ?\(at\) ?| ?\[at\] ?)[^\W_](?:[\w-]*{_DOT})+[^\W\d_]{{2,}}(?![\w-])"),
     re.compile(rf"{_LOCAL} at (?:[\w-]+ dot )+[^\W\d_]{{2,}}(?![\w-])", re.I),
 ]
-_EMAIL_HINT = re.compile(r"[@＠]|[(\[]at[)\]]| at ", re.I)
+_EMAIL_HINT = [re.compile(r"[@＠]|[(\[]at[)\]]"), re.compile(r" dot ", re.I)]
 
 _S = r"[-.    ‐‑‒–]"
 _NOT_BEFORE = r"(?<![\w+])(?<!\w[-./])"
@@ -58,18 +58,18 @@ _PHONE_LABELLED = re.compile(rf"\b{_PHONE_LABEL}(?:[.:=]|\"?: ?\")? ?((?:\d{{3}}
 _NO_ID = re.compile(r"(?:chunks?|tickets?|jobs?|draws?|builds?|tags?|versions?|seeds?|serial|steps?|batch|trials?|runs?|tag|order|part|commit|issue|range)[ #:.]*$", re.I)
 _ID_LABEL = r"(?:SSN|soc(?:ial)?\.? sec(?:urity)?(?: no\.?| number| #| nr\.?)?|id(?: no\.?| number| card)?|INSEE|NIR|num[ée]ro de s[ée]cu(?:rit[ée] sociale)?|n[ºo°]? ?de s[ée]cu|sozialversicherung\w*|seguridad social)"
 _ID = [
-    re.compile(r"(?<![\w.-])\d{3}[-‐‑]\d{2}[-‐‑]\d{4}(?![-.]?\d|\w)"),
-    re.compile(r"(?<![\w.-])\d{2}\.\d{3}\.\d{3}[- ]?[A-Z](?!\w)"),
-    re.compile(r"(?<![\w.-])\d{8}-?[A-Z](?![\w-])"),
-    re.compile(r"(?<![\w.-])[XYZ]-?\d{7}-?[A-Z](?!\w)"),
+    re.compile(r"\d(?<![\w.-]\d)\d{2}[-‐‑]\d{2}[-‐‑]\d{4}(?![-.]?\d|\w)"),
+    re.compile(r"\d(?<![\w.-]\d)\d\.\d{3}\.\d{3}[- ]?[A-Z](?!\w)"),
+    re.compile(r"\d(?<![\w.-]\d)\d{7}-?[A-Z](?![\w-])"),
+    re.compile(r"[XYZ](?<![\w.-].)-?\d{7}-?[A-Z](?!\w)"),
     re.compile(r"(?<![\w.-])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]([ -]?)\d{2}\1\d{2}\1\d{2}\1[A-D](?!\w)|(?<![\w.-])QQ([ -]?)\d{2}\2\d{2}\2\d{2}\2[A-D](?!\w)"),
-    re.compile(r"(?<![\w.-])[1-478] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?(?! ?\d|\w)"),
-    re.compile(r"(?<![\w.-])[1-478]\d{2}(?:0[1-9]|1[0-2]|99)\d{8}(?:\d{2})?(?!\w)"),
+    re.compile(r"[1-478](?<![\w.-].) \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?(?! ?\d|\w)"),
+    re.compile(r"[1-478](?<![\w.-].)\d{2}(?:0[1-9]|1[0-2]|99)\d{8}(?:\d{2})?(?!\w)"),
 ]
 _ID_LABELLED = re.compile(rf"\b{_ID_LABEL}[ :#.º°]*\s?(\d{{3}}[- ]?\d{{2}}[- ]?\d{{4}}|[1-478](?:[ .]?\d{{2}}){{3}}(?:[ .]?\d{{3}}){{2}}(?:[ .]?\d{{2}})?)(?![-.]?\d|\w)", re.I)
 _PASSPORT = re.compile(r"\b(?:pass(?:port|eport)?|reisepass|pasaporte|passnummer)(?: (?:no|nr|n)\.?| ?n[º°]| number| #)?[ :.#]*\s?([A-Z][A-Z0-9]\d[A-Z0-9]?\d{5,6}|[A-Z]{1,2}\d{6,8}|[A-Z]\d[A-Z]\d{6}|\d{9})(?!\w)", re.I)
 
-_HOUSE = r"(?<![\w.,:/#-])\d{1,4}[a-zA-Z]?"
+_HOUSE = r"\d(?<![\w.,:/#-]\d)\d{0,3}[a-zA-Z]?"
 _STREET_FULL = r"(?:street|road|lane|drive|avenue|close|terrace|court|way|place|square|crescent|boulevard|gardens|grove|mews|parade)"
 _STREET_ABBR = r"(?:st|rd|ln|dr|ave|ct|pl|sq|cres|blvd)"
 _UNIT = r"(?:,? (?:apartment|apt|flat|unit|suite|ste|floor|fl|room|rm|no)\.? ?\d{1,4}[a-zA-Z]?(?!\w)|,? #\d{1,4}[a-zA-Z]?(?!\w)|,? \d{1,2}(?:st|nd|rd|th) floor)?"
@@ -85,7 +85,8 @@ _FR_WAY = r"(?:rue|impasse|avenue|all[ée]e|boulevard|chemin|quai|place|ruelle|s
 _FR_LINK = r"(?:de la |de l['’]|de |du |des |d['’])"
 _ADDRESS_FR = re.compile(rf"{_HOUSE}(?: ?(?:bis|ter|quater)(?!\w))?,? {_FR_WAY} ((?:{_FR_LINK})?{_NAMEWORD}(?: (?:{_FR_LINK})?{_NAMEWORD}){{0,4}})", re.I)
 _FR_TAIL = re.compile(rf"(?i:{_FR_LINK})?(?:[A-ZÀ-ÖØ-Þ][\w'’-]*(?: (?i:{_FR_LINK})?[A-ZÀ-ÖØ-Þ][\w'’-]*){{0,3}}|[^\W\d_][\w'’-]*(?: (?!(?:is|and|not|hacia|or|und|et|y)\b)(?:{_FR_LINK})?[a-zß-öø-ÿ][\w'’-]*){{0,2}})")
-_ADDRESS_DE = re.compile(r"(?:(?<!\w)(?:Alte[rns]?|Neue[rns]?|Am|An der|Auf der|Gro(?:ß|ss)e|Kleine|Obere|Untere|Hintere|Lange) )?(?<!\w)[^\W\d_][\w-]*?(?:stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|ufer|damm|stieg|ring)(?<!\sweg)(?<!\sring) \d{1,4} ?[a-zA-Z]?(?!\w)", re.I)
+_ADDRESS_DE = re.compile(r"(?:stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|ufer|damm|stieg|ring) \d{1,4}(?: ?[a-zA-Z](?!\w))?(?!\w)", re.I)
+_DE_HEAD = re.compile(r"(?:(?<!\w)(?:Alte[rns]?|Neue[rns]?|Am|An der|Auf der|Gro(?:ß|ss)e|Kleine|Obere|Untere|Hintere|Lange) )?(?<![\w-])[^\W\d_][\w-]*$", re.I)
 _ADDRESS_ES = re.compile(r"(?<!\w)(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|ronda|traves[íi]a|carrera) ?(?:(?:de los|de las|de la|del|de) )?[^\W\d_][\w'’-]*(?: (?:(?:de los|de las|de la|del|de) )?[^\W\d_][\w'’-]*){0,3},? (?:n\.? ?[ºo°]\.? ?|núm\.? ?)?\d{1,4}(?!\w)(?: ?(?:bis))?(?:, ?\d{1,2}\.? ?[ºª°]\.?(?: ?[A-Z](?!\w))?)?", re.I)
 
 # ---- names -----------------------------------------------------------------------------------------------------------
@@ -299,11 +300,10 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
             taken.append((s, e))
             out.append((kind, s, e))
 
-    if _EMAIL_HINT.search(text):
-        for r in _EMAIL:
+    for r, hint in zip(_EMAIL, _EMAIL_HINT):
+        if hint.search(text):
             for m in r.finditer(text):
-                s = m.start()
-                add("email", s, m.end())
+                add("email", m.start(), m.end())
     digits = re.search(r"\d", text)
     if digits:
         for m in _PASSPORT.finditer(text):
@@ -330,9 +330,13 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
         for m in _ADDRESS_FR.finditer(text):
             cut = _FR_TAIL.match(m.group(1))
             add("address", m.start(), m.start(1) + cut.end() if cut else m.end())
-        for r in (_ADDRESS_DE, _ADDRESS_ES):
-            for m in r.finditer(text):
-                add("address", m.start(), m.end())
+        for m in _ADDRESS_DE.finditer(text):
+            # the word that ends here, and what stands before it; a word is at most a line long
+            h = _DE_HEAD.search(text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 200) : m.start()])
+            if h:
+                add("address", m.start() - len(h.group()), m.end())
+        for m in _ADDRESS_ES.finditer(text):
+            add("address", m.start(), m.end())
     for s, e in _names(text, names):
         add("name", s, e)
     return sorted(out, key=lambda x: x[1])
