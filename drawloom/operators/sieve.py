@@ -245,3 +245,71 @@ def adaptive_threshold(seeds_from: int, seeds_to: int, values: list[int], family
     p = spark.range(seeds_from, seeds_to, step).withColumnRenamed("id", "seed").limit(pilots)
     r = fixed_skip(p, values, family, (0, 0), 0.0)
     return r.agg(F.count(F.lit(1)).alias("pilots"), F.avg("match_rate").alias("mean"), F.stddev_pop("match_rate").alias("sd")).withColumn("threshold", F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("mean") + sigmas * F.col("sd"))))
+
+
+def hybrid_reverse(seeds: DataFrame, values: list[int], family: str, threshold: float, offset: int = 0, strategies: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """Variable skips over the reversed values: skips 0..tolerance are tried, a miss leaves the state, more misses in a row than
+    allowed reject a strategy, and the first strategy that reaches the threshold wins."""
+    strategies = strategies or STRATEGIES
+    values = [v % 1000 for v in values[::-1]]
+    k, need = len(values), least_matches(threshold, len(values))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in G.batches(it, min(2_000, G.FAMILIES[family].batch)):
+            seed = pdf["seed"].to_numpy()
+            n = len(seed)
+            won, got = np.full(n, -1), np.zeros(n, int)
+            for sid, (_, most, tol) in enumerate(strategies):
+                g = G.FAMILIES[family].stepper(seed)
+                for _ in range(offset):
+                    g.step()
+                matches, missed, live = np.zeros(n, int), np.zeros(n, int), won < 0
+                for v in values:
+                    start = g.keep()
+                    after, found = start, np.zeros(n, bool)
+                    for _ in range(tol + 1):
+                        hit = (g.step() % G.U64(1000) == v) & live & ~found
+                        if hit.any():
+                            after, found = _blend(after, g.keep(), hit), found | hit
+                    g.back(_blend(start, after, found))
+                    matches += found
+                    missed = np.where(found, 0, missed + 1)
+                    live &= missed <= most
+                ok = live & (won < 0) & (matches >= need)
+                won[ok], got[ok] = sid, matches[ok]
+            at = np.flatnonzero(won >= 0)
+            yield pd.DataFrame({"seed": seed[at], "matches": got[at].astype("int32"), "total": np.int32(k), "match_rate": got[at] / k, "strategy_id": won[at].astype("int32")})
+
+    return seeds.select("seed").mapInPandas(run, "seed bigint, matches int, total int, match_rate double, strategy_id int")
+
+
+def validate_survivors(seeds: DataFrame, values: list[int], family: str, skips: tuple[int, int]) -> DataFrame:
+    """Each survivor's best skip by half its rate, .3 of its mean lane agreement and .2 of its longest run's share."""
+    a, (lo, hi) = np.array([v % 1000 for v in values]), skips
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in G.batches(it, min(20_000, G.FAMILIES[family].batch)):
+            seed = pdf["seed"].to_numpy()
+            best = np.full(len(seed), -1.0)
+            out = {c: np.zeros(len(seed)) for c in ("rate", "lanes", "longest", "skip")}
+            for s in range(lo, hi + 1):
+                p = (G.sequences(family, seed, len(a), s, every=True) % G.U64(1000)).astype(np.int64)
+                hit = p == a
+                rate, lanes = hit.mean(1), ((p % 8 == a % 8).mean(1) + (p % 125 == a % 125).mean(1)) / 2
+                run_, longest = np.zeros(len(seed)), np.zeros(len(seed))
+                for i in range(len(a)):
+                    run_ = np.where(hit[:, i], run_ + 1, 0)
+                    longest = np.maximum(longest, run_)
+                sc = 0.5 * rate + 0.3 * lanes + 0.2 * longest / len(a)
+                up = sc > best
+                best = np.where(up, sc, best)
+                for c, v in (("rate", rate), ("lanes", lanes), ("longest", longest), ("skip", np.full(len(seed), s))):
+                    out[c] = np.where(up, v, out[c])
+            yield pd.DataFrame({"seed": seed, "score": best, "match_rate": out["rate"], "lane_agreement": out["lanes"], "longest_run": out["longest"].astype("int32"), "best_skip": out["skip"].astype("int32")})
+
+    return seeds.select("seed").mapInPandas(run, "seed bigint, score double, match_rate double, lane_agreement double, longest_run int, best_skip int")
+
+
+def predict_next(survivors: DataFrame, family: str, position: int, weight: str = "score") -> DataFrame:
+    """Each survivor's output at a position, as a number to vote for with its weight."""
+    return G.with_sequence(survivors, family, "seed", position, name="_o", mod=1000).select("seed", F.element_at("_o", position).alias("number"), F.col(weight).alias("weight"))
