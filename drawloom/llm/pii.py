@@ -17,6 +17,7 @@ linear in it. Repeated rows give repeated places.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -33,10 +34,11 @@ KINDS = ("email", "id_number", "phone", "address", "name")
 # ---- forms -----------------------------------------------------------------------------------------------------------
 
 _DOT = r"(?:\.| dot | ?\[dot\] ?| ?\(dot\) ?)"
-_LOCAL = r"(?<![\w.+%-])[\w+%-]+(?:(?:\.| dot |\[dot\]| \[dot\] |\(dot\))[\w+%-]+)*"
+#: A local part has at most ten parts, a domain at most ten labels.
+_LOCAL = r"(?<![\w.+%-])[\w+%-]+(?:(?:\.| dot |\[dot\]| \[dot\] |\(dot\))[\w+%-]+){0,9}"
 _EMAIL = [
-    re.compile(rf"{_LOCAL}(?: ?[@＠] ?| ?\(at\) ?| ?\[at\] ?)[^\W_](?:[\w-]*{_DOT})+[^\W\d_]{{2,}}(?![\w-])"),
-    re.compile(rf"{_LOCAL} at (?:[\w-]+ dot )+[^\W\d_]{{2,}}(?![\w-])", re.I),
+    re.compile(rf"{_LOCAL}(?: ?[@＠] ?| ?\(at\) ?| ?\[at\] ?)[^\W_](?:[\w-]*{_DOT}){{1,10}}[^\W\d_]{{2,}}(?![\w-])"),
+    re.compile(rf"{_LOCAL} at (?:[\w-]+ dot ){{1,10}}[^\W\d_]{{2,}}(?![\w-])", re.I),
 ]
 _EMAIL_HINT = [re.compile(r"[@＠]|[(\[]at[)\]]"), re.compile(r" dot ", re.I)]
 
@@ -145,6 +147,7 @@ class Names:
                 heads[b].add(e)
         first = set(heads)
         self.heads = {b for b in first if not any(b != a and b.startswith(a) and heads[b] <= {x[len(b) - len(a) :] for x in heads[a]} for a in first)}
+        self.longest = max(map(len, self.heads), default=0)
         tails: dict[str, set[str]] = defaultdict(set)
         for w in self.family:
             for b in self.heads:
@@ -173,7 +176,7 @@ class Names:
         return k
 
     def _formed(self, f: str) -> bool:
-        return any(f[:i] in self.heads and f[i:] in self.tails for i in range(3, len(f) - 1))
+        return any(f[:i] in self.heads and f[i:] in self.tails for i in range(3, min(len(f) - 1, self.longest + 1)))
 
 
 #: Nouns that often follow a given name which is a word as well, in capitals.
@@ -293,11 +296,14 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
     if not text:
         return []
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
 
     def add(kind: str, s: int, e: int) -> None:
-        if e > s and not any(a < e and s < b for a, b in taken):
-            taken.append((s, e))
+        i = bisect.bisect_right(starts, s)
+        if e > s and not (i and ends[i - 1] > s) and not (i < len(starts) and starts[i] < e):
+            starts.insert(i, s)
+            ends.insert(i, e)
             out.append((kind, s, e))
 
     for r, hint in zip(_EMAIL, _EMAIL_HINT):
