@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawloom.operators import features as X
@@ -123,11 +123,11 @@ def sink_metadata(spark, folder):
     return files.metadata(d, ["prng_type"]).select("rows", F.concat_ws(",", "codes_prng_type").alias("codes"), "columns")
 
 
-@query(f"WITH {DRAWS_SQL} SELECT CAST(date AS VARCHAR) AS date, session, CAST(draw AS INTEGER) AS draw FROM draws WHERE idx % 10 = 0 GROUP BY ALL")
+@query(f"WITH {DRAWS_SQL} SELECT CAST(date AS VARCHAR) AS date, session, CAST(draw AS INTEGER) AS draw FROM draws GROUP BY ALL")
 def html_scan(spark, folder):
     """Draws from HTML tables, exact repeats once."""
     row = F.concat(F.lit("<tr><td>"), F.col("date").cast("string"), F.lit("</td><td>"), F.initcap("session"), F.lit("</td><td>"), F.lpad(F.col("draw").cast("string"), 3, "0"), F.lit(" Wild 7</td></tr>"))
-    pages = draws(spark, folder).where("idx % 10 = 0").groupBy("date").agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
+    pages = draws(spark, folder).groupBy("date").agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
     return files.draw_table(pages, "html")
 
 
@@ -191,8 +191,6 @@ def generator_sequences(spark, folder):
     o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("seed"))
     out = None
     for f in G.FAMILIES:
-        if f == "mt19937":
-            continue
         d = G.with_sequence(o, f, "seed", 4, mod=1000).select(F.lit(f).alias("family"), "seed", "outputs")
         out = d if out is None else out.unionByName(d)
     return out
@@ -205,5 +203,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
-
-_ = Window

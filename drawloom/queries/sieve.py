@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawloom.operators import generators as G
@@ -163,13 +163,13 @@ def generator_catalogue(spark, folder):
     return G.catalogue(spark)
 
 
-@query(f"""WITH {DRAWS_SQL}, o AS (SELECT o_orderkey AS seed FROM orders), e AS (SELECT idx, draw, CAST(floor(epoch(CAST(date AS TIMESTAMP))) AS BIGINT) + CASE session WHEN 'midday' THEN 46800 ELSE 68400 END AS t FROM draws WHERE idx < 50),
+@query(f"""WITH {DRAWS_SQL}, e AS (SELECT idx, draw, CAST(floor(epoch(CAST(date AS TIMESTAMP))) AS BIGINT) + CASE session WHEN 'midday' THEN 46800 ELSE 68400 END AS t FROM draws),
 x AS (SELECT e.idx, e.draw, g.s AS seed FROM e, LATERAL (SELECT unnest(range(e.t - 300, e.t + 300)) AS s) g)
 SELECT idx, seed FROM x WHERE ((CAST(((CAST(seed AS HUGEINT) * 25214903917 + 11) % 281474976710656) AS BIGINT) >> 16) & 4294967295) % 1000 = draw""")
 def interval_seed_join(spark, folder):
-    """For each of the first 50 draws, the seeds within 300 s of its time whose first output is the draw."""
+    """For each draw, the seeds within 300 s of its time whose first output is the draw."""
     secs = F.unix_timestamp(F.col("date").cast("timestamp")) + F.when(F.col("session") == "midday", 46800).otherwise(68400)
-    d = draws(spark, folder).where("idx < 50").withColumn("seed", F.explode(F.sequence(secs - 300, secs + 299)))
+    d = draws(spark, folder).withColumn("seed", F.explode(F.sequence(secs - 300, secs + 299)))
     a, c = G.jumps(G.FAMILIES["java_lcg"].affine, [1])[1]
     return d.where(G.affine_output("java_lcg", G.affine_seed("java_lcg", F.col("seed")), a, c) % 1000 == F.col("draw")).select("idx", "seed")
 
@@ -222,5 +222,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
-
-_ = Window
