@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawloom.storage import spread, written
+
 KINDS = ("email", "id_number", "phone", "address", "name")
 
 # ---- forms -----------------------------------------------------------------------------------------------------------
@@ -40,7 +42,7 @@ _EMAIL = [
     re.compile(rf"{_LOCAL}(?: ?[@＠] ?| ?\(at\) ?| ?\[at\] ?)[^\W_](?:[\w-]*{_DOT}){{1,10}}[^\W\d_]{{2,}}(?![\w-])"),
     re.compile(rf"{_LOCAL} at (?:[\w-]+ dot ){{1,10}}[^\W\d_]{{2,}}(?![\w-])", re.I),
 ]
-_EMAIL_HINT = [re.compile(r"[@＠]|[(\[]at[)\]]"), re.compile(r" dot ", re.I)]
+_EMAIL_HINT = [re.compile(r"(?<=[\w% +-])(?:[@＠]|[(\[]at[)\]])(?=[\w ])"), re.compile(r" at (?=[\w-]+ dot )", re.I)]
 
 _S = r"[-.    ‐‑‒–]"
 _NOT_BEFORE = r"(?<![\w+])(?<!\w[-./])"
@@ -55,7 +57,8 @@ _PHONE = [
     re.compile(rf"{_NOT_BEFORE}(?:0\d(?:{_S}\d{{2}}){{4}}|\(?0\d{{2}}\)?{_S}\d{{4}}{_S}\d{{4}}|\(?0\d{{4}}\)?{_S}\d{{6}}|\(?0\d{{2,4}}\)?[- / ]\d{{4,6}}[-  ]?\d{{2,4}}){_EXT}{_NOT_AFTER}", re.I),
 ]
 _PHONE_LABEL = r"(?:tel(?:efon|éfono|éphone|ephone)?|cell|mobile|m[óo]vil|phone|handy|call|text|caller|fax|ring|dial|ph)"
-_PHONE_LABELLED = re.compile(rf"\b{_PHONE_LABEL}(?:[.:=]|\"?: ?\")? ?((?:\d{{3}}{_S}\d{{4}}|\d{{10,11}}|0\d{{9,10}}|\d{{3}}{_S}\d{{3}}{_S}\d{{3}}){_EXT}){_NOT_AFTER}", re.I)
+_PHONE_LABEL_END = re.compile(rf"\b{_PHONE_LABEL}(?:[.:=]|\"?: ?\")? ?$", re.I)
+_PHONE_LABELLED = re.compile(rf"\d(?:\d{{2}}{_S}\d{{4}}|\d{{9,10}}|\d{{2}}{_S}\d{{3}}{_S}\d{{3}}){_EXT}{_NOT_AFTER}", re.I)
 
 _NO_ID = re.compile(r"(?:chunks?|tickets?|jobs?|draws?|builds?|tags?|versions?|seeds?|serial|steps?|batch|trials?|runs?|tag|order|part|commit|issue|range)[ #:.]*$", re.I)
 _ID_LABEL = r"(?:SSN|soc(?:ial)?\.? sec(?:urity)?(?: no\.?| number| #| nr\.?)?|id(?: no\.?| number| card)?|INSEE|NIR|num[ée]ro de s[ée]cu(?:rit[ée] sociale)?|n[ºo°]? ?de s[ée]cu|sozialversicherung\w*|seguridad social)"
@@ -68,8 +71,11 @@ _ID = [
     re.compile(r"[1-478](?<![\w.-].) \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?(?! ?\d|\w)"),
     re.compile(r"[1-478](?<![\w.-].)\d{2}(?:0[1-9]|1[0-2]|99)\d{8}(?:\d{2})?(?!\w)"),
 ]
-_ID_LABELLED = re.compile(rf"\b{_ID_LABEL}[ :#.º°]*\s?(\d{{3}}[- ]?\d{{2}}[- ]?\d{{4}}|[1-478](?:[ .]?\d{{2}}){{3}}(?:[ .]?\d{{3}}){{2}}(?:[ .]?\d{{2}})?)(?![-.]?\d|\w)", re.I)
-_PASSPORT = re.compile(r"\b(?:pass(?:port|eport)?|reisepass|pasaporte|passnummer)(?: (?:no|nr|n)\.?| ?n[º°]| number| #)?[ :.#]*\s?([A-Z][A-Z0-9]\d[A-Z0-9]?\d{5,6}|[A-Z]{1,2}\d{6,8}|[A-Z]\d[A-Z]\d{6}|\d{9})(?!\w)", re.I)
+_ID_LABEL_END = re.compile(rf"\b{_ID_LABEL}[ :#.º°]*\s?$", re.I)
+_ID_LABELLED = re.compile(r"\d(?:\d{2}[- ]?\d{2}[- ]?\d{4}|(?<=[1-478])(?:[ .]?\d{2}){3}(?:[ .]?\d{3}){2}(?:[ .]?\d{2})?)(?![-.]?\d|\w)")
+_PASSPORT_END = re.compile(r"\b(?:pass(?:port|eport)?|reisepass|pasaporte|passnummer)(?: (?:no|nr|n)\.?| ?n[º°]| number| #)?[ :.#]*\s?$", re.I)
+_PASSPORT = re.compile(r"[A-Z](?<!\w.)(?:[A-Z0-9]\d[A-Z0-9]?\d{5,6}|[A-Z]?\d{6,8}|\d[A-Z]\d{6})(?!\w)|\d(?<!\w\d)\d{8}(?!\w)")
+
 
 _HOUSE = r"\d(?<![\w.,:/#-]\d)\d{0,3}[a-zA-Z]?"
 _STREET_FULL = r"(?:street|road|lane|drive|avenue|close|terrace|court|way|place|square|crescent|boulevard|gardens|grove|mews|parade)"
@@ -87,8 +93,10 @@ _FR_WAY = r"(?:rue|impasse|avenue|all[ée]e|boulevard|chemin|quai|place|ruelle|s
 _FR_LINK = r"(?:de la |de l['’]|de |du |des |d['’])"
 _ADDRESS_FR = re.compile(rf"{_HOUSE}(?: ?(?:bis|ter|quater)(?!\w))?,? {_FR_WAY} ((?:{_FR_LINK})?{_NAMEWORD}(?: (?:{_FR_LINK})?{_NAMEWORD}){{0,4}})", re.I)
 _FR_TAIL = re.compile(rf"(?i:{_FR_LINK})?(?:[A-ZÀ-ÖØ-Þ][\w'’-]*(?: (?i:{_FR_LINK})?[A-ZÀ-ÖØ-Þ][\w'’-]*){{0,3}}|[^\W\d_][\w'’-]*(?: (?!(?:is|and|not|hacia|or|und|et|y)\b)(?:{_FR_LINK})?[a-zß-öø-ÿ][\w'’-]*){{0,2}})")
-_ADDRESS_DE = re.compile(r"(?:stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|ufer|damm|stieg|ring) \d{1,4}(?: ?[a-zA-Z](?!\w))?(?!\w)", re.I)
+_ADDRESS_DE = re.compile(r" \d{1,4}(?: ?[a-zA-Z](?!\w))?(?!\w)")
+_DE_END = ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ufer", "damm", "stieg", "ring")
 _DE_HEAD = re.compile(r"(?:(?<!\w)(?:Alte[rns]?|Neue[rns]?|Am|An der|Auf der|Gro(?:ß|ss)e|Kleine|Obere|Untere|Hintere|Lange) )?(?<![\w-])[^\W\d_][\w-]*$", re.I)
+_ES_WAYS = ("calle", "c/", "avda", "avenida", "av.", "plaza", "pza", "paseo", "camino", "ronda", "traves", "carrera")
 _ADDRESS_ES = re.compile(r"(?<!\w)(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|ronda|traves[íi]a|carrera) ?(?:(?:de los|de las|de la|del|de) )?[^\W\d_][\w'’-]*(?: (?:(?:de los|de las|de la|del|de) )?[^\W\d_][\w'’-]*){0,3},? (?:n\.? ?[ºo°]\.? ?|núm\.? ?)?\d{1,4}(?!\w)(?: ?(?:bis))?(?:, ?\d{1,2}\.? ?[ºª°]\.?(?: ?[A-Z](?!\w))?)?", re.I)
 
 # ---- names -----------------------------------------------------------------------------------------------------------
@@ -190,7 +198,11 @@ _NOT_FAMILY = frozenset(
 
 def _names(text: str, names: Names) -> Iterator[tuple[int, int]]:
     toks = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
-    n = len(toks)
+    n, kind = len(toks), names.kind
+    # most texts hold no word of a name
+    kinds = [kind(t[2]) for t in toks]
+    if not any(kinds):
+        return
 
     def gap(i: int) -> str:
         return text[toks[i][1] : toks[i + 1][0]]
@@ -217,7 +229,11 @@ def _names(text: str, names: Names) -> Iterator[tuple[int, int]]:
     i = done = 0
     while i < n:
         s, e, w = toks[i]
-        k = names.kind(w)
+        k = kinds[i]
+        # neither a family name nor a word in capitals near a given name
+        if not k & 2 and not (w[0].isupper() and (i and kinds[i - 1] or i > 1 and kinds[i - 2] or i > 2 and kinds[i - 3] or i > 3 and kinds[i - 4])):
+            i += 1
+            continue
         # an unknown word in capitals after a given name, straight or after initials and particles
         if not k & 2 and w[0].isupper() and len(w) > 2 and fold(w) not in _NOT_FAMILY and i - 1 >= done and joined(i - 1) and "\n" not in gap(i - 1):
             m = i - 1
@@ -307,15 +323,22 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
             out.append((kind, s, e))
 
     for r, hint in zip(_EMAIL, _EMAIL_HINT):
-        if hint.search(text):
-            for m in r.finditer(text):
-                add("email", m.start(), m.end())
+        done = 0
+        for h in hint.finditer(text):
+            # forms are shorter than what is looked at on both sides
+            if h.start() >= done:
+                for m in r.finditer(text, max(done, h.start() - 400), h.end() + 600):
+                    if m.end() > h.start():
+                        if m.start() <= h.start():
+                            add("email", m.start(), m.end())
+                            done = m.end()
+                        break
     digits = re.search(r"\d", text)
     if digits:
-        for m in _PASSPORT.finditer(text):
-            add("id_number", m.start(1), m.end(1))
-        for m in _ID_LABELLED.finditer(text):
-            add("id_number", m.start(1), m.end(1))
+        for r, label, back in ((_PASSPORT, _PASSPORT_END, 32), (_ID_LABELLED, _ID_LABEL_END, 48)):
+            for m in r.finditer(text):
+                if label.search(text[max(0, m.start() - back) : m.start()]):
+                    add("id_number", m.start(), m.end())
         for r in _ID:
             for m in r.finditer(text):
                 if not _NO_ID.search(text[max(0, m.start() - 14) : m.start()]):
@@ -327,7 +350,8 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
                 if not _NO_ID.search(text[max(0, m.start() - 14) : m.start()]):
                     add("phone", m.start(), m.end())
         for m in _PHONE_LABELLED.finditer(text):
-            add("phone", m.start(1), m.end(1))
+            if _PHONE_LABEL_END.search(text[max(0, m.start() - 20) : m.start()]):
+                add("phone", m.start(), m.end())
         for m in _ADDRESS_EN.finditer(text):
             words = m.group(1).split()
             if any(fold(w) in _NOT_STREET for w in words) or _AFTER_STREET.match(text, m.end()):
@@ -336,13 +360,19 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
         for m in _ADDRESS_FR.finditer(text):
             cut = _FR_TAIL.match(m.group(1))
             add("address", m.start(), m.start(1) + cut.end() if cut else m.end())
-        for m in _ADDRESS_DE.finditer(text):
-            # the word that ends here, and what stands before it; a word is at most a line long
-            h = _DE_HEAD.search(text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 200) : m.start()])
-            if h:
-                add("address", m.start() - len(h.group()), m.end())
-        for m in _ADDRESS_ES.finditer(text):
-            add("address", m.start(), m.end())
+        low = text.lower()
+        if any(x in low for x in _DE_END):
+            for m in _ADDRESS_DE.finditer(text):
+                before = text[max(0, m.start() - 200) : m.start()]
+                if before.lower().endswith(_DE_END):
+                    # the word that ends here, and what stands before it
+                    end = next(x for x in _DE_END if before.lower().endswith(x))
+                    h = _DE_HEAD.search(before[: len(before) - len(end)])
+                    if h:
+                        add("address", m.start() - len(end) - len(h.group()), m.end())
+        if any(x in low for x in _ES_WAYS):
+            for m in _ADDRESS_ES.finditer(text):
+                add("address", m.start(), m.end())
     for s, e in _names(text, names):
         add("name", s, e)
     return sorted(out, key=lambda x: x[1])
@@ -497,7 +527,7 @@ def lexicon(parts: DataFrame) -> list[tuple[str, str, str]]:
 
 def places(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str]], mask: bool = False) -> DataFrame:
     """ident, places (with each entity's key) and, with ``mask``, the text with typed placeholders, numbered by entity within the text."""
-    src = df.select(F.col(ident).alias("_id"), F.col(text).alias("_text"))
+    src = spread(df.select(F.col(ident).alias("_id"), F.col(text).alias("_text")))
     schema = f"_id {src.schema['_id'].dataType.simpleString()}, places {PLACE}" + (", masked string" if mask else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,8 +585,6 @@ def replacements(entities: DataFrame, secret: str, parts: list[tuple[str, str, s
 
 def surrogates(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str]], secret: str) -> DataFrame:
     """ident, text with every place replaced by the keyed surrogate of its entity. Places are found once and written to the shared folder."""
-    from drawloom.storage import written
-
     found = written(places(df, ident, text, parts).where(F.size("places") > 0), "places")
     each = found.select(ident, F.explode("places").alias("p")).select(ident, "p.*")
     new = replacements(each, secret, parts)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawloom.storage import spread
+
 #: Runs of more bytes than this take the tree; its leaves are at most half as long.
 LONG_RUN = 1024
 #: Texts of more characters than this are spread over tasks.
@@ -108,7 +110,7 @@ def encoder(path: str, long_run: int = LONG_RUN) -> Encoder:
 def encode(df: DataFrame, ident: str, text: str, path: str | None = None, count_only: bool = False, long_run: int = LONG_RUN, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """ident and ids, or with ``count_only`` ident and n_tokens. Short texts need no shuffle; the others are spread over tasks."""
     path = path or default_vocabulary()
-    src = df.select(F.col(ident).alias("_id"), F.col(text).alias("_text"))
+    src = spread(df.select(F.col(ident).alias("_id"), F.col(text).alias("_text")))
     kind = src.schema["_id"].dataType.simpleString()
     out = "n_tokens int" if count_only else "ids array<int>"
 
@@ -121,8 +123,8 @@ def encode(df: DataFrame, ident: str, text: str, path: str | None = None, count_
 
     long = F.coalesce(F.length("_text"), F.lit(0)) > piece_chars
     short = src.where(~long).mapInArrow(run, f"_id {kind}, {out}")
-    spread = _spread(src.where(long), kind, path, long_run, piece_chars, count_only)
-    return short.unionByName(spread).withColumnRenamed("_id", ident)
+    parted = _spread(src.where(long), kind, path, long_run, piece_chars, count_only)
+    return short.unionByName(parted).withColumnRenamed("_id", ident)
 
 
 def cut_text(text: str, piece_chars: int, long_run: int, cut) -> Iterator[tuple[int, bytes, bool]]:  # noqa: ANN001
