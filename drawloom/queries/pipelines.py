@@ -56,7 +56,7 @@ def stream_misses(spark, folder):
     """Consecutive misses as state between batches."""
     s = _event_stream(spark, folder).select("event_type", "event_id", (F.col("user_id") % 7 == 0).alias("hit"))
     c = I.miss_counter(s, "event_type", "event_id", "hit")
-    return I.run_once(c, "misses", "update").select("event_type", "misses", "seen")
+    return I.run_once(c, "misses", "update", ["event_type"]).select("event_type", "misses", "seen")
 
 
 @query("""WITH e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS new FROM events), s AS (SELECT user_id, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM e),

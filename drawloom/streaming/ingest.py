@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drawloom.storage import scratch_path
 
@@ -50,20 +51,29 @@ def deduplicated(df: DataFrame, ident: str = "draw_id", ts: str = "ts", delay: s
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([ident]) if delay else df.dropDuplicates([ident])
 
 
-def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming plan over all that is there and give what it wrote; checkpoint and result are in the shared folder."""
+def run_once(df: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a streaming plan over all that is there and give what it wrote; checkpoint and result are in the shared folder.
+
+    ``complete``: the last batch's result. ``update``: the last row of each of ``keys``. A batch that is run again writes the same place.
+    """
     spark = df.sparkSession
     out, cp = scratch_path(spark, name), scratch_path(spark, f"{name}-cp")
     if mode == "append":
         q = df.writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out)
-    else:
-        # each batch replaces the result; the last one stays
-        def put(batch: DataFrame, no: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        q.awaitTermination()
+        return spark.read.schema(df.schema).parquet(out)
+
+    def put(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_no={no}" if mode == "update" else out)
 
-        q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", cp).trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", cp).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(df.schema).parquet(out)
+    rest = [c for c in df.columns if c not in (keys or [])]
+    got = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_no", T.LongType())])).parquet(out)
+    last = got.groupBy(*(keys or [])).agg(F.max_by(F.struct(*rest), "batch_no").alias("_r"))
+    return last.select(*(keys or []), "_r.*").select(*df.columns)
 
 
 def quarantined(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Streams against batches, input shapes, tolerant readers."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -20,12 +21,13 @@ def test_validation_shapes(spark):
 def test_stream_dedup_and_state_over_batches(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    for i, part in enumerate([[(1, False), (2, True), (3, False)], [(3, False), (4, False)]]):
-        (src / f"{i}.json").write_text("\n".join(json.dumps({"k": "a", "n": n, "hit": h}) for n, h in part))
+    for i, part in enumerate([[("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 9, False)], [("a", 3, False), ("a", 4, False)]]):
+        (src / f"{i}.json").write_text("\n".join(json.dumps({"k": k, "n": n, "hit": h}) for k, n, h in part))
+        os.utime(src / f"{i}.json", (1_700_000_000 + 60 * i,) * 2)
     s = spark.readStream.schema("k string, n long, hit boolean").option("maxFilesPerTrigger", 1).json(str(src))
-    assert ingest.run_once(ingest.deduplicated(s, "n"), "t").count() == 4
-    last = ingest.run_once(ingest.miss_counter(s, "k", "n", "hit"), "m", "update").collect()
-    assert [(r.misses, r.seen) for r in last] == [(3, 5)]
+    assert ingest.run_once(ingest.deduplicated(s, "n"), "t").count() == 5
+    last = ingest.run_once(ingest.miss_counter(s, "k", "n", "hit"), "m", "update", ["k"]).collect()
+    assert {r.k: (r.misses, r.seen) for r in last} == {"a": (3, 5), "b": (1, 1)}
 
 
 def test_tolerant_readers(spark, tmp_path):
