@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drawloom.functions import scalars as C
+from drawloom.operators import generators as G
 from drawloom.operators import ranking as R
 from drawloom.operators import sieve as S
 from drawloom.operators import windows as W
 from drawloom.plans import search as P
-from drawloom.queries.sieve import window_values
+from drawloom.queries.sieve import _sieve_cte, window_values
 from drawloom.sources.tables import DRAWS_SQL, draws, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,7 +179,11 @@ def survivor_validation(spark, folder):
     return S.validate_survivors(s, v, "java_lcg", (0, 10))
 
 
-@query()
+_A9, _C9 = G.jumps(G.FAMILIES["java_lcg"].affine, [9])[9]
+
+
+@query(f"""WITH {DRAWS_SQL}, {_sieve_cte('java_lcg', False, 'f')}, v AS (SELECT ((CAST(((CAST(seed AS HUGEINT) * {_A9} + {_C9}) % 281474976710656) AS BIGINT) >> 16) & 4294967295) % 1000 AS number, sum(match_rate) AS weight FROM f GROUP BY 1)
+SELECT number, weight, CAST(row_number() OVER (ORDER BY weight DESC, number) AS INTEGER) AS rank_no FROM v QUALIFY rank_no <= 300""")
 def next_draw_pool(spark, folder):
     """Votes of the survivors for the next value."""
     v = window_values(spark, folder)

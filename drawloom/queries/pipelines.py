@@ -102,7 +102,7 @@ def summary_flags(spark, folder):
     return o.select(F.col("o_orderkey").alias("id"), F.concat_ws(",", f).alias("flags"), I.accepted(F.col("o_totalprice") / 500000, changes).alias("accepted")).where("flags <> ''")
 
 
-@query()
+@query(f"WITH {DRAWS_SQL}, h AS (SELECT CAST('0x' || substr(md5(CAST(idx AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 12) AS BIGINT) AS h FROM draws) SELECT substr(sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(h) AS VARCHAR) || ':' || CAST(bit_xor(h) AS VARCHAR)), 1, 8) AS fingerprint, count(*) AS n FROM h")
 def history_fingerprint(spark, folder):
     """A digest that changes with any row of the history."""
     return I.change_fingerprint(draws(spark, folder).select(F.concat_ws("|", F.col("idx").cast("string"), F.col("draw").cast("string")).alias("k")), "k")

@@ -145,7 +145,18 @@ def hybrid_two_phase(spark, folder):
     return S.two_phase(S.seed_space(spark, 0, 4_000), window_values(spark, folder), "java_lcg", SKIPS, 0.2, 0.5)
 
 
-@query()
+def _digit_sql(n: int, lo: int, hi: int) -> str:
+    at = [(s, i, d, s + i * (3 + s) + d + 1) for s in range(lo, hi + 1) for i in range(K) for d in range(3)]
+    jump = G.jumps(G.FAMILIES["java_lcg"].affine, [p for *_, p in at])
+    vals = ", ".join(f"({s}, {i}, {d}, {jump[p][0]}, {jump[p][1]})" for s, i, d, p in at)
+    out = "(CAST(((CAST(q.seed AS HUGEINT) * s.a + s.c) % 281474976710656) AS BIGINT) >> 16) & 4294967295"
+    return f"""WITH {DRAWS_SQL}, st(skip, i, d, a, c) AS (VALUES {vals}),
+h AS (SELECT q.seed, s.skip, s.i, sum(CAST(({out}) % 10 = CASE s.d WHEN 0 THEN w.draw // 100 WHEN 1 THEN w.draw // 10 % 10 ELSE w.draw % 10 END AS INT)) AS n FROM range({n}) q(seed) CROSS JOIN st s JOIN draws w ON w.idx = s.i GROUP BY ALL),
+r AS (SELECT seed, skip, sum(CAST(n = 3 AS INT)) AS f, sum(CAST(n >= 2 AS INT)) AS p FROM h GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY p * {K + 1} + f DESC, skip) AS rn FROM r)
+SELECT seed, CAST(f AS INTEGER) AS full_matches, CAST(p AS INTEGER) AS partial_matches, CAST(skip AS INTEGER) AS best_skip FROM k WHERE rn = 1"""
+
+
+@query(_digit_sql(5_000, 0, 5))
 def digit_sequential_sieve(spark, folder):
     """Three outputs a value, digit by digit."""
     return S.digit_sequential(S.seed_space(spark, 0, 5_000), window_values(spark, folder), "java_lcg", (0, 5))

@@ -1,7 +1,13 @@
-"""Session builder with the settings the engine is written for."""
+"""Session builder with the settings the engine is written for, and the package for its executors."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +24,21 @@ def build_session(app: str = "drawloom", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     }
     return b.config(map=base | conf).getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once per application, so that their Python workers can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="drawloom-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/drawloom.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(f"{folder}/drawloom.zip")
+        _shipped.add(app)
+    return spark
