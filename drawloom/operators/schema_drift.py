@@ -36,19 +36,28 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _RUN = re.compile(r"\d+|[^\W\d_]+")
 
 
-def leaves(o: dict, path: str = "") -> Iterator[tuple[str, object]]:
+def leaves(o: dict, path: str | None = None) -> Iterator[tuple[str, object]]:
     """(path, value) of all leaves, without recursion so that depth doesn't matter."""
     stack = [(path, o)]
     while stack:
         p, d = stack.pop()
         for k, v in d.items():
-            q = f"{p}.{k}" if p else k
+            q = k if p is None else f"{p}.{k}"
             if isinstance(v, dict):
                 stack.append((q, v))
             else:
                 yield q, v
 
 
+def clean(s: str) -> str:
+    """Text that UTF-8 can hold: lone surrogates, which JSON escapes may spell, become question marks."""
+    try:
+        s.encode()
+    except UnicodeEncodeError:
+        return s.encode("utf-8", "replace").decode()
+    return s
+
+
 def kind_of(v: object) -> str | None:
     if v is None:
         return None
@@ -75,8 +84,9 @@ def content(v: object) -> tuple[set[str], float | None]:
     if isinstance(v, bool):
         return {str(v)}, None
     if isinstance(v, (int, float)):
-        return ({"#int"} if float(v).is_integer() else {"#frac"}), math.copysign(math.log10(1 + min(abs(v), 1e300)), v)
-    s = v if isinstance(v, str) else json.dumps(v, sort_keys=True)
+        size = math.log10(1 + min(abs(v), 1e300))
+        return ({"#int"} if isinstance(v, int) or v.is_integer() else {"#frac"}), size if v >= 0 else -size
+    s = clean(v) if isinstance(v, str) else json.dumps(v, sort_keys=True)
     words = {t.lower() if not t.isdigit() else "9" for t in _TOKEN.findall(s)}
     shape = _RUN.sub(lambda m: "9" if m.group()[0].isdigit() else "a", s)
     return words | {f"~{shape}" if len(shape) <= 40 else "~long"}, None
@@ -100,7 +110,7 @@ def file_fields(df: DataFrame, src_table: str) -> DataFrame:
                     k = kind_of(v)
                     if k is None:
                         continue
-                    a = acc.setdefault((w, n, p), [set(), set(), None, None, 0])
+                    a = acc.setdefault((w, n, clean(p)), [set(), set(), None, None, 0])
                     tok, x = content(v)
                     a[0].add(k)
                     a[1] |= tok
@@ -279,7 +289,7 @@ def consistent(df: DataFrame, fields: DataFrame, change_log: DataFrame, meta: li
             for i, raw in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 if (o := parse(raw)) is not None:
                     keep.append(i)
-                    rows.append([(p, v if isinstance(v, str) else json.dumps(v)) for p, v in dict(leaves(o)).items() if v is not None])
+                    rows.append([(clean(p), clean(v) if isinstance(v, str) else json.dumps(v)) for p, v in dict(leaves(o)).items() if v is not None])
             head = pa.Table.from_batches([b]).select(range(b.num_columns - 1)).take(pa.array(keep, pa.int64()))
             yield from head.append_column("leaf", pa.array(rows, pa.map_(pa.string(), pa.string()))).to_batches()
 

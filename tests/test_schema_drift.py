@@ -73,3 +73,14 @@ def test_consistent_table_and_promotion(spark):
 
 def test_empty_table(spark):
     assert _changes(spark, {("w", 1): ["x"]}) == set()
+
+
+def test_odd_values_do_not_crash(spark):
+    deep = "x"
+    for _ in range(300):
+        deep = {"d": deep}
+    files = {("w", 1): [{"big": 10**400, "wide": 1e308, "": {"": 1}}, '{"s": "\\ud800", "\\udfff": 1}', '{"k": 1, "k": "two"}', deep], ("w", 2): ["{}", "[" * 100_000]}
+    got = _changes(spark, files)
+    assert {r[2] for r in got} == {"removed"} and ("w", 2, "removed", "k", "string", "") in got and ("w", 2, "removed", ".", "number", "") in got
+    out = S.consistent(_df(spark, files), S.file_fields(_df(spark, files), "t").cache(), spark.createDataFrame([], "change_kind string, field_path string, new_value string"), ["writer_id"])
+    assert out.count() == 5
