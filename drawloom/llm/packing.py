@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity with whole items, with as little unused space as possible.
 
 Items above the capacity are cut into full pieces, each of which fills a container, and a rest, which is an item again. Items are
-spread at random (by a keyed hash of their id) over groups of about ``group_items``; within each group first-fit decreasing runs
+spread at random (by a hash of their id and place) over groups of about ``group_items``; within each group first-fit decreasing runs
 on a tournament tree of the containers' free space, so that the first container with room is found in logarithmic time; items of
 one size are placed run by run, which gives what first-fit decreasing gives. Groups are alike in their sizes, so what is lost
 against one run over all items is at most part of one container per group. A group's memory doesn't grow with the data.
@@ -75,7 +75,8 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int, group_items: in
     kind = src.schema["_id"].dataType.simpleString()
     full = F.when(F.col("_n") > capacity, F.floor(F.col("_n") / capacity)).otherwise(0).cast("bigint")
     x = src.withColumn("_full", full).withColumn("_rest", F.col("_n") - F.col("_full") * capacity)
-    x = x.withColumn("_g", F.pmod(F.xxhash64("_id", F.lit("containers")), F.lit(groups)))
+    # an id that is there very many times must not fill one group, so the row's place within its partition has a say
+    x = x.withColumn("_g", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id().bitwiseAND(F.lit(1023))), F.lit(groups)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["_g"].iloc[0])
