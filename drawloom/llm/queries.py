@@ -96,7 +96,9 @@ _P2_SCOPES = {"node": ["node_id"], "prng_type": ["prng_type"], "node_prng_type":
 
 
 def _runtimes(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "cache_results").select(F.date_format("computed_at", "yyyy-MM-dd").alias("day"), "node_id", key("prng_type").alias("prng_type"), "runtime")
+    """A row that repeats an id was delivered twice and counts once."""
+    rows = table(spark, folder, "cache_results").select("id", "computed_at", "node_id", "prng_type", "runtime").dropDuplicates(["id"])
+    return rows.select(F.date_format("computed_at", "yyyy-MM-dd").alias("day"), "node_id", key("prng_type").alias("prng_type"), "runtime")
 
 
 def _scope_rows(d: DataFrame, keep: list[str]) -> DataFrame:

@@ -49,3 +49,17 @@ def test_leaves_keep_the_order(spark):
     df = spark.createDataFrame([(x,) for x in v], "v double").select("v", P.leaf(F.col("v")).alias("l"))
     leaves = [r.l for r in df.orderBy("v").collect()]
     assert leaves == sorted(leaves) and len(set(leaves)) == len(leaves) and leaves[0] == 0 and leaves[-1] == (1 << P.LOG_U) - 1
+
+
+def test_rows_delivered_twice_count_once(spark, tmp_path):
+    import pandas as pd
+
+    from drawloom.llm import queries
+
+    t = pd.Timestamp("2025-03-01")
+    rows = [(1, 1.0), (2, 2.0), (3, 100.0), (3, 100.0), (3, 100.0)]
+    pd.DataFrame([{"id": i, "computed_at": t, "node_id": "n", "prng_type": "minstd", "runtime": x} for i, x in rows]).to_parquet(tmp_path / "cache_results.parquet", coerce_timestamps="us")
+    got = queries.p2_percentiles(spark, str(tmp_path)).collect()
+    assert len(got) == 4 and all(r.n == 3 and abs(r.p50 / 2 - 1) < 0.002 for r in got)
+    checked = queries.p2_rank_check(spark, str(tmp_path)).collect()
+    assert len(checked) == 4 and all(r.n == 3 and r.ok50 and r.ok99 for r in checked)
