@@ -500,9 +500,9 @@ def render(kind: str, seen: str, new: str) -> str:
             keep |= set(range(m.start(), m.end()))
     chars = iter([c for c in new if c.isalnum()])
     if kind == "phone":
-        z = seen.find("(0)")
-        keep |= {z + 1} if z >= 0 else set()
+        keep |= {m.start() + 1 for m in re.finditer(r"\(0\)", seen)}
         keep |= {0, 1} if seen.startswith("00") else {1, 2} if seen.startswith("(00") else set()
+        keep |= {i for i, c in enumerate(seen) if not c.isdecimal()}
     return "".join(c if i in keep or not c.isalnum() else _cased(c, next(chars, c)) for i, c in enumerate(seen))
 
 

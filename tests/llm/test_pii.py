@@ -61,3 +61,14 @@ def test_collisions_are_told_apart(spark):
     df = spark.createDataFrame([("name", f"x{i} y{i}") for i in range(60)] + [("id_number", "1")] * 3 + [("id_number", str(i)) for i in range(10)], "kind string, entity string")
     rows = pii.replacements(df, "k", few).collect()
     assert len(rows) == 70 and len({(r.kind, r.replacement) for r in rows}) == 70
+
+
+@pytest.mark.parametrize("ext", [" ext. 105", " ext 105", ", extension 105", " x105", " x 105", " poste 105", " Durchwahl 105", " int. 105", ""])
+@pytest.mark.parametrize("number", ["512-555-0183", "+44 (0)20 7946 0131", "0044 20 7946 0131", "030 23125-940"])
+def test_phones_with_an_extension_keep_letters_and_no_digits(number, ext):
+    seen = number + ext
+    assert [(k, seen[s:e]) for k, s, e in pii.find_places(seen, NAMES)] == [("phone", seen)]
+    key = pii.entity_key("phone", seen)
+    new = pii.render("phone", seen, "".join(str((int(c) + 1) % 10) for c in key))
+    assert [c for c in new if not c.isdigit()] == [c for c in seen if not c.isdigit()]
+    assert pii.entity_key("phone", new) == "".join(str((int(c) + 1) % 10) for c in key)
