@@ -7,9 +7,9 @@ known, and a capitalised word before a family name as a given name.
 
 ``surrogates`` replaces each entity by another one of its type: keyed by a secret, so that an entity has the same replacement in
 all documents (coreference), of the same form (digits for digits, letters for letters, case and separators kept; names by
-names of the same language, kind and, as far as the lexicon tells, gender). Two entities never share a replacement: candidate
-replacements of all distinct entities are checked for collisions by a shuffle on the replacement, and the entities that collide
-are ranked and told apart.
+names of the same language, kind and, as far as the lexicon tells, gender). Two entities never share a replacement: e-mail
+addresses, phones, id numbers and addresses are recoded by a keyed permutation of all texts of their form; candidate replacements
+are checked for collisions by a shuffle on the replacement, and names (or addresses) that collide are ranked and told apart.
 
 Defined results: null texts have no places and stay null; empty texts stay empty. Texts are read whole, of any length, in time
 linear in it. Repeated rows give repeated places.
@@ -18,12 +18,13 @@ linear in it. Repeated rows give repeated places.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import hmac
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -410,37 +411,68 @@ def _stream(secret: bytes, *what: object) -> Iterator[int]:
         n += 1
 
 
-_CONS, _VOW = "bcdfghjklmnprstvwz", "aeiou"
+#: Letters that may stand for each other: an alphabet's vowels, its consonants. No letter is in two.
+_POOLS = ("aeiou", "bcdfghjklmnpqrstvwxyz")
+_POOL_OF = {c: x for p in _POOLS for x in (p, p.upper()) for c in x}
 
 
-def _recode(s: str, key: Iterator[int], keep: int = 0) -> str:
-    """Digits for digits, letters for letters of the same case; readable, as consonants and vowels stay such. keep: leading characters that stay."""
-    out = [s[:keep]]
-    for c in s[keep:]:
-        if c.isdigit():
-            out.append(str(next(key) % 10))
-        elif c.isalpha():
-            f = fold(c)[:1]
-            pool = _VOW if f in _VOW else _CONS
-            x = pool[next(key) % len(pool)]
-            out.append(x.upper() if c.isupper() else x)
-        else:
-            out.append(c)
+@functools.cache
+def _pool(c: str) -> str:
+    """The characters that may stand for c, c among them: digits for digits, letters for letters of the same script and case. '' if c stays."""
+    if c in _POOL_OF:
+        return _POOL_OF[c]
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalpha():
+        return ""
+    block = map(chr, range(ord(c) & ~255, (ord(c) | 255) + 1))
+    return "".join(x for x in block if x.isalpha() and x not in _POOL_OF and unicodedata.category(x) == unicodedata.category(c))
+
+
+def _permuted(x: int, n: int, secret: bytes, tweak: str) -> int:
+    """A keyed permutation of 0..n-1: a Feistel network over the next even number of bits, repeated while it leads beyond n."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    size, mask = half // 8 + 8, (1 << half) - 1
+    start = hashlib.shake_256(b"%d\x1f%s%s\x1f%x" % (len(secret), secret, tweak.encode("utf-8", "surrogatepass"), n))
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(8):
+            h = start.copy()
+            h.update(b"\x1f%d\x1f%x" % (r, right))
+            left, right = right, left ^ (int.from_bytes(h.digest(size), "big") & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def _recode(s: str, secret: bytes, tweak: str, stay: Collection[int] = ()) -> str:
+    """Another text of the form of s (see ``_pool``; the places in ``stay`` stay): one to one, so that no two texts become the same."""
+    out, pools = list(s), [(i, p) for i, c in enumerate(s) if i not in stay and (p := _pool(c))]
+    x, n = 0, 1
+    for i, p in pools:
+        x, n = x * len(p) + p.index(s[i]), n * len(p)
+    if n > 1:
+        x = _permuted(x, n, secret, tweak)
+    for i, p in reversed(pools):
+        x, k = divmod(x, len(p))
+        out[i] = p[k]
     return "".join(out)
 
 
 def candidate(kind: str, key: str, attempt: int, secret: bytes, pools: dict[str, list[str]]) -> str:
-    """A replacement of an entity's key; another one for each attempt."""
-    rnd = _stream(secret, kind, key, attempt)
+    """A replacement of an entity's key. E-mail addresses, phones and id numbers are recoded one to one within their form; for others each attempt gives another one."""
     if kind == "email":
         local, _, domain = key.partition("@")
         labels = domain.split(".")
-        host = ".".join([_recode(x, _stream(secret, "host", x, attempt)) for x in labels[:-1]] + labels[-1:])
-        return f"{_recode(local, rnd)}@{host}"
+        host = ".".join([_recode(x, secret, "host") for x in labels[:-1]] + labels[-1:])
+        return f"{_recode(local, secret, f'email {domain}')}@{host}"
     if kind == "phone":
-        return _recode(key, rnd, keep=min(3, max(0, len(key) - 7)))
+        first = min(3, max(0, len(key) - 7))
+        return _recode(key, secret, f"phone {key[:first]}", range(first))
     if kind == "id_number":
-        return _recode(key, rnd)
+        return _recode(key, secret, kind)
+    rnd = _stream(secret, kind, key, attempt)
     if kind == "name":
         words = key.split()
         lang, sex = name_class(words, pools)
@@ -451,10 +483,8 @@ def candidate(kind: str, key: str, attempt: int, secret: bytes, pools: dict[str,
         if "-" in words[-1] or attempt:
             fam += "-" + fold(pick(pools["family"]))
         return " ".join([*given, *mid, fam])
-    out = []
-    for w in key.split():
-        out.append(_recode(w, rnd) if not _FIXED_WORD.fullmatch(w) else w)
-    return " ".join(out)
+    stay = {i for m in re.finditer(r"\S+", key) if _FIXED_WORD.fullmatch(m.group()) for i in range(*m.span())}
+    return _recode(key, secret, f"{kind} {attempt}", stay)
 
 
 _FIXED_WORD = re.compile(
@@ -503,7 +533,9 @@ def render(kind: str, seen: str, new: str) -> str:
         keep |= {m.start() + 1 for m in re.finditer(r"\(0\)", seen)}
         keep |= {0, 1} if seen.startswith("00") else {1, 2} if seen.startswith("(00") else set()
         keep |= {i for i, c in enumerate(seen) if not c.isdecimal()}
-    return "".join(c if i in keep or not c.isalnum() else _cased(c, next(chars, c)) for i, c in enumerate(seen))
+    # a character that lower case makes several of, in the key of an e-mail address, takes as many
+    many = lambda c: sum(x.isalnum() for x in c.casefold()) if kind == "email" else 1
+    return "".join(c if i in keep or not c.isalnum() else _cased(c, "".join(next(chars, "") for _ in range(many(c)))) for i, c in enumerate(seen))
 
 
 def _cased(like: str, s: str) -> str:
@@ -563,7 +595,8 @@ def replacements(entities: DataFrame, secret: str, parts: list[tuple[str, str, s
     """kind, entity, replacement for distinct entities, no replacement twice.
 
     In each round entities that share a candidate are ranked by a shuffle on the candidate; all but the first try again with
-    their rank as the attempt. What still collides after the last round gets its rank as an ending that no candidate has.
+    their rank as the attempt. What still collides after the last round gets its rank as an ending that no candidate has; only names
+    and addresses can, whose rendering keeps it.
     """
     pools, key = make_pools(parts), secret.encode()
 

@@ -72,3 +72,13 @@ def test_phones_with_an_extension_keep_letters_and_no_digits(number, ext):
     new = pii.render("phone", seen, "".join(str((int(c) + 1) % 10) for c in key))
     assert [c for c in new if not c.isdigit()] == [c for c in seen if not c.isdigit()]
     assert pii.entity_key("phone", new) == "".join(str((int(c) + 1) % 10) for c in key)
+
+
+def test_rendered_surrogates_of_full_forms_differ(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    seen = {"email": [f"{a}@{b}.test" for a in letters for b in letters], "phone": [f"512-555-{i:04d}" for i in range(0, 10_000, 7)], "id_number": [f"{i}-1" for i in range(10)]}
+    rows = [(k, s, pii.entity_key(k, s)) for k, x in seen.items() for s in x]
+    new = {(r.kind, r.entity): r.replacement for r in pii.replacements(spark.createDataFrame([(k, e) for k, _, e in rows], "kind string, entity string"), "k", PARTS).collect()}
+    assert len({(k, pii.render(k, s, new[k, e])) for k, s, e in rows}) == len(rows)
+    # phones of one prefix
+    assert len({pii.candidate("phone", f"0{i:07d}", 0, b"k", {}) for i in range(0, 10_000_000, 997)}) == len(range(0, 10_000_000, 997))
