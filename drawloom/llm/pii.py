@@ -411,8 +411,8 @@ def _stream(secret: bytes, *what: object) -> Iterator[int]:
         n += 1
 
 
-#: Letters that may stand for each other: an alphabet's vowels, its consonants. No letter is in two.
-_POOLS = ("aeiou", "bcdfghjklmnpqrstvwxyz")
+#: Letters that may stand for each other: an alphabet's vowels, its consonants, letters with accents. No letter is in two.
+_POOLS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäéèêëíìîïóòôöúùûü", "çñ", "аеиоуыэюяё", "бвгджзклмнпрстфхцчшщйъь", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 _POOL_OF = {c: x for p in _POOLS for x in (p, p.upper()) for c in x}
 
 

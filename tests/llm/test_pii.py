@@ -82,3 +82,15 @@ def test_rendered_surrogates_of_full_forms_differ(spark):
     assert len({(k, pii.render(k, s, new[k, e])) for k, s, e in rows}) == len(rows)
     # phones of one prefix
     assert len({pii.candidate("phone", f"0{i:07d}", 0, b"k", {}) for i in range(0, 10_000_000, 997)}) == len(range(0, 10_000_000, 997))
+
+
+def test_letters_keep_their_script():
+    import unicodedata
+
+    script = lambda s: [unicodedata.name(c).split()[0] if c.isalpha() else c for c in s]
+    for s in ("иван.петров@пример.test", "νικος@δοκιμη.test", "josé.muñoz@exämple.test", "משה@example.test", "straße@example.test"):
+        key = pii.entity_key("email", s)
+        new = pii.render("email", s, pii.candidate("email", key, 0, b"k", {}))
+        assert new != s and new.endswith(".test") and script(pii.entity_key("email", new)) == script(key)
+        assert [c in "áàâäéèêëíìîïóòôöúùûüçñ" for c in pii.entity_key("email", new)] == [c in "éñä" for c in key]
+    assert script(pii.candidate("address", "улица 12", 0, b"k", {})) == [*script("улица"), " ", *pii.candidate("address", "улица 12", 0, b"k", {})[-2:]]
