@@ -351,8 +351,8 @@ def schema_hash(spark, folder):
 
 @query("SELECT trial_number, count(*) AS n FROM step1_trial_history WHERE skip_min BETWEEN 0 AND skip_max AND skip_max <= 100 AND window_size BETWEEN 1 AND 1000 AND forward_threshold BETWEEN 0.01 AND 1 AND reverse_threshold BETWEEN 0.01 AND 1 GROUP BY trial_number")
 def valid_configs(spark, folder):
-    """Trials whose configuration lies within the bounds."""
-    t = table(spark, folder, "step1_trial_history")
+    """Trials whose configuration lies within the bounds; a repeated id counts once."""
+    t = table(spark, folder, "step1_trial_history").select("id", "trial_number", "skip_min", "skip_max", "window_size", "forward_threshold", "reverse_threshold").dropDuplicates(["id"])
     b = lambda c, lo, hi: F.col(c).between(lo, hi)
     ok = (F.col("skip_min") >= 0) & (F.col("skip_min") <= F.col("skip_max")) & (F.col("skip_max") <= 100) & b("window_size", 1, 1000) & b("forward_threshold", 0.01, 1) & b("reverse_threshold", 0.01, 1)
     return t.where(ok).groupBy("trial_number").agg(F.count(F.lit(1)).alias("n"))

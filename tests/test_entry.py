@@ -25,3 +25,9 @@ def test_ship_twice_and_read_part_files(spark, tmp_path):
         d.to_parquet(tmp_path / f"{n}.parquet" / "part-0.parquet", coerce_timestamps="us")
     got = {tuple(r) for r in core.p4_found(spark, str(tmp_path)).collect()}
     assert got == {("attempts.fingerprint", "2", "2025-03", "missing"), ("attempts.run_id", "1", "2025-03", "missing"), ("fingerprint_summary.fingerprint", "zz", "2025-03", "missing")}
+
+
+def test_valid_configs_counts_repeated_ids_once(spark, tmp_path):
+    t = pd.DataFrame({"id": [1, 1, 2, 3], "trial_number": [7, 7, 7, 8], "skip_min": 0, "skip_max": 10, "window_size": [8, 8, 8, 0], "forward_threshold": 0.3, "reverse_threshold": 0.3})
+    t.to_parquet(tmp_path / "step1_trial_history.parquet")
+    assert [tuple(r) for r in entry.queries()["valid_configs"](spark, str(tmp_path)).collect()] == [(7, 2)]
