@@ -270,7 +270,9 @@ def consistent(df: DataFrame, fields: DataFrame, change_log: DataFrame, meta: li
     seen = fields.where("path IS NOT NULL").groupBy("path", "types").agg(F.count(F.lit(1)).alias("n")).limit(MOST_PATHS + 1).collect()
     if len(seen) > MOST_PATHS:
         raise ValueError(f"more than {MOST_PATHS} different fields")
-    ren = change_log.where("change_kind = 'renamed'").groupBy("field_path", "new_value").agg(F.count(F.lit(1)).alias("n")).limit(MOST_PATHS).collect()
+    ren = change_log.where("change_kind = 'renamed'").groupBy("field_path", "new_value").agg(F.count(F.lit(1)).alias("n")).limit(MOST_PATHS + 1).collect()
+    if len(ren) > MOST_PATHS:
+        raise ValueError(f"more than {MOST_PATHS} different renames")
     counts: dict[str, int] = {}
     for r in seen:
         counts[r.path] = counts.get(r.path, 0) + r.n

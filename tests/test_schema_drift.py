@@ -84,3 +84,17 @@ def test_odd_values_do_not_crash(spark):
     assert {r[2] for r in got} == {"removed"} and ("w", 2, "removed", "k", "string", "") in got and ("w", 2, "removed", ".", "number", "") in got
     out = S.consistent(_df(spark, files), S.file_fields(_df(spark, files), "t").cache(), spark.createDataFrame([], "change_kind string, field_path string, new_value string"), ["writer_id"])
     assert out.count() == 5
+
+
+def test_more_renames_than_the_bound_are_refused(spark, monkeypatch):
+    import pytest
+
+    from drawloom.operators import schema_drift
+
+    monkeypatch.setattr(schema_drift, "MOST_PATHS", 3)
+    df = spark.createDataFrame([("w", 1, '{"a": 1, "b": 2, "c": 3}')], "writer_id string, file_no long, raw string")
+    fields = schema_drift.file_fields(df, "t")
+    pairs = lambda n: spark.createDataFrame([("renamed", o, x) for o, x in [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")][:n]], "change_kind string, field_path string, new_value string")
+    assert schema_drift.consistent(df, fields, pairs(3), ["writer_id", "file_no"]).count() == 1
+    with pytest.raises(ValueError, match="renames"):
+        schema_drift.consistent(df, fields, pairs(4), ["writer_id", "file_no"])
