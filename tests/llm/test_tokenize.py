@@ -4,6 +4,8 @@ import random
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from drawloom.llm import tokenize
@@ -31,6 +33,50 @@ def test_trees_agree_with_plain_encoding(plain):
             assert e.encode(t) == plain(t), (long_run, t[:40])
 
 
+GAPS = ["", " ", "  ", "\n", "\n\n", "\r\n\r\n", " \n\n", "\t", "\t ", "\n ", "\u00a0", "\u2003\n", "\x1c", "'", "'s", " 'll"]
+
+
+def around_runs(size):
+    """White space and signs before and after runs of letters, digits, signs and white space."""
+    runs = ["a" * size, "ab" * (size // 2), "7" * size, "=-" * (size // 2), " " * size, "\n" * size, "é" * size, "漢" * size, "\x1c" * size]
+    return [f"foo{a}{r}{b}" for r in runs for a in GAPS for b in (*GAPS, " bar", "\n\nbar", "1", "\n\n" + "b" * size)]
+
+
+def test_line_ends_before_long_runs(plain):
+    e = tokenize.Encoder(tokenize.default_vocabulary())
+    assert e.encode("foo\n\n" + "a" * 2000) == plain("foo\n\n" + "a" * 2000)
+    for size in (8, 63, 64, 65, 130, 1100):
+        for t in around_runs(size):
+            assert e.encode(t) == plain(t), t[:40]
+    assert e.trees > 5_000 and e.joins > e.trees
+
+
+def test_parts_of_any_size_give_the_same(plain):
+    e = tokenize.Encoder(tokenize.default_vocabulary(), 16)
+    rnd = random.Random(5)
+    for piece in (16, 50, 200, 4096):
+        every = around_runs(90) + ["".join(rnd.choice(GAPS + ["word", "two words", "x" * 30, "12", "…", "a" * 300]) for _ in range(60)) for _ in range(60)] + texts()
+        for t in every if piece in (50, 4096) else every[::7]:
+            parts = list(tokenize.cut_text(t, piece, e.cut))
+            assert b"".join(r for _, r, _ in parts).decode() == t
+            assert tokenize.join_parts(e, [(n, tokenize.encode_part(e, r, ends)) for n, r, ends in parts]) == plain(t), (piece, t[:40])
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.text(st.sampled_from("ab1é漢.'s \n\r\t\x1c\u00a0"), max_size=300), st.integers(8, 40), st.integers(4, 60))
+def test_any_text(plain, t, long_run, piece):
+    e = tokenize.encoder(None, long_run)
+    assert e.encode(t) == plain(t)
+    assert tokenize.join_parts(e, [(n, tokenize.encode_part(e, r, x)) for n, r, x in tokenize.cut_text(t, piece, e.cut)]) == plain(t)
+
+
+def test_every_white_space_sign_is_cut_alike(plain):
+    e = tokenize.encoder()
+    for c in [chr(i) for i in range(0x3100) if chr(i).isspace() or i < 33]:
+        t = f"a{c}{c}b{c}" + "x" * 99
+        assert e.encode(t) == plain(t), hex(ord(c))
+
+
 def test_encode_over_tasks(spark, plain):
     rows = [(i, t) for i, t in enumerate([*texts(), None, "word and another, word " * 400])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
