@@ -4,24 +4,26 @@ Values are quantized to ``2^LOG_U`` ordered leaves, logarithmically on both sign
 within 0.1 % of the one at its rank), with leaves of their own for zero and both infinities. A digest is the compressed set of
 dyadic-tree nodes (group..., node, n): node = level * 2^LOG_U + position. Bottom up, two children and their parent become the
 parent where together they hold no more than floor(N / k). Digests merge by adding the counts of equal nodes, over partitions,
-days or groups, in any order; the rank of what a query returns is off by at most LOG_U * floor(N / k), that is 0.26 % of N for
+days or groups, in any order, and are compressed again by the N of all, to about 3 k nodes whatever was merged; the rank of what a query returns is off by at most LOG_U * floor(N / k), that is 0.26 % of N for
 k = 8192, however often digests were merged and compressed. Groups of fewer than k values are exact up to quantization.
 
-Counting leaves, merging and querying are Spark aggregates and windows. Only the compression, which goes level by level, is
-Python: whole Arrow batches of many groups at once, in NumPy.
+Counting leaves and adding nodes are Spark aggregates with map-side combining, keyed by group and node, so that a group of any
+size is spread. Only the compression, which goes level by level, and the reading of ranks in its result are Python: one sorted
+pass over a group's distinct nodes, whole Arrow batches of many groups at once, in NumPy.
 
 Defined results: null and NaN say nothing; all other values count as stored, negative and infinite ones too. A group without
-values has no row. The q-percentile is the value of rank ceil(q * N). Empty tables give no rows; repeats count each time.
+values has no row. The q-percentile is the value of rank ceil(q * N), at least 1. Empty tables give no rows; repeats count each time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOG_U, K = 21, 8192
 _U = 1 << LOG_U
@@ -80,33 +82,52 @@ def digest(df: DataFrame, value: str, dims: list[str], k: int = K) -> DataFrame:
     return compress(leaves, dims, k)
 
 
-def merge(digests: DataFrame, dims: list[str]) -> DataFrame:
-    """Digests of the coarser groups ``dims``, by node addition."""
+def _added(digests: DataFrame, dims: list[str]) -> DataFrame:
+    """Node addition."""
     return digests.groupBy(*dims, "node").agg(F.sum("n").alias("n"))
 
 
+def merge(digests: DataFrame, dims: list[str], k: int = K) -> DataFrame:
+    """Digests of the coarser groups ``dims``: node addition, then compression by the merged N."""
+    return compress(_added(digests, dims), dims, k)
+
+
 def compress(digests: DataFrame, dims: list[str], k: int = K) -> DataFrame:
     """Each group's digest compressed to about 3 k nodes at most. A task sees a group's nodes sorted, at most as many as the universe has."""
+    schema = digests.select(*dims, "node", "n").schema
+
+    def fn(t: pa.Table, start: np.ndarray) -> pa.Table:
+        g, node, n = _compressed(t, start, k)
+        return pa.Table.from_arrays([*_heads(t, start[g]), pa.array(node, pa.int64()), pa.array(n, pa.int64())], names=schema.names)
+
+    return _by_group(digests, dims, fn, schema)
+
+
+def _by_group(digests: DataFrame, dims: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema) -> DataFrame:  # noqa: ANN001
+    """``fn`` over tables of whole groups, sorted by group and node, with the places where groups begin."""
     cols = [*dims, "node", "n"]
     src = digests.select(*cols).repartition(*[F.col(d) for d in dims]).sortWithinPartitions(*cols[:-1])
     nd = len(dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            t = t.combine_chunks()
+            rest.append(b)
+            # a group that runs over many batches is put together once, when the next one begins
+            if len(rest) > 1 and _starts(pa.Table.from_batches([rest[0].slice(rest[0].num_rows - 1), b.slice(b.num_rows - 1)]), nd).size < 2:
+                continue
+            t = pa.Table.from_batches(rest).combine_chunks()
             start = _starts(t, nd)
             if len(start) > 1:
-                yield from _compressed(t.slice(0, start[-1]), start[:-1], k, nd)
-            rest = t.slice(start[-1])
-        if rest is not None:
-            rest = rest.combine_chunks()
-            yield from _compressed(rest, _starts(rest, nd), k, nd)
+                yield from fn(t.slice(0, start[-1]).combine_chunks(), start[:-1]).to_batches(max_chunksize=50_000)
+            rest = t.slice(start[-1]).combine_chunks().to_batches()
+        if rest:
+            t = pa.Table.from_batches(rest).combine_chunks()
+            yield from fn(t, _starts(t, nd)).to_batches(max_chunksize=50_000)
 
-    return src.mapInArrow(run, src.schema)
+    return src.mapInArrow(run, schema)
 
 
 def _starts(t: pa.Table, nd: int) -> np.ndarray:
@@ -122,15 +143,16 @@ def _starts(t: pa.Table, nd: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _compressed(t: pa.Table, start: np.ndarray, k: int, nd: int) -> Iterator[pa.RecordBatch]:
-    node, n = (t.column(nd + i).to_numpy().astype(np.int64) for i in (0, 1))
-    size = np.diff(np.append(start, t.num_rows))
-    group = np.repeat(np.arange(len(start)), size)
-    limit = np.add.reduceat(n, start) // k if len(start) else np.zeros(0, np.int64)
-    g, node, n = compress_nodes(group, node, n, limit)
-    heads = t.select(range(nd)).take(pa.array(start[g]))
-    out = pa.Table.from_arrays([*heads.columns, pa.array(node, pa.int64()), pa.array(n, pa.int64())], names=t.column_names)
-    yield from out.cast(t.schema).to_batches(max_chunksize=50_000)
+def _heads(t: pa.Table, at: np.ndarray) -> list[pa.ChunkedArray]:
+    """The group columns of the rows ``at``."""
+    return t.select(range(t.num_columns - 2)).take(pa.array(at)).columns
+
+
+def _compressed(t: pa.Table, start: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group number, node, n) of compressed groups."""
+    node, n = (t.column(t.num_columns - 2 + i).to_numpy().astype(np.int64) for i in (0, 1))
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, t.num_rows)))
+    return compress_nodes(group, node, n, np.add.reduceat(n, start) // k)
 
 
 def compress_nodes(group: np.ndarray, node: np.ndarray, n: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,16 +189,41 @@ def compress_nodes(group: np.ndarray, node: np.ndarray, n: np.ndarray, limit: np
     return tuple(np.concatenate(x) for x in done)
 
 
+def leaf_name(q: float) -> str:
+    """The column of a probability: leaf_50, leaf_99, leaf_99_9."""
+    whole, _, part = f"{q * 100:.10g}".partition(".")
+    return f"leaf_{int(whole):02d}" + (f"_{part}" if part else "")
+
+
 def quantiles(digests: DataFrame, dims: list[str], probs: list[float], k: int = K) -> DataFrame:
-    """dims..., n, rank_error (in ranks, guaranteed), then leaf_<q> per probability: the leaf at the end of the node that holds the rank."""
-    low, lv = F.col("node").bitwiseAND(F.lit(_U - 1)), F.shiftright("node", LOG_U).cast("int")
-    x = digests.withColumn("lv", lv).withColumn("hi", F.expr(f"shiftleft((node & {_U - 1}L) + 1, cast(shiftright(node, {LOG_U}) as int)) - 1"))
-    del low
-    w = Window.partitionBy(*dims)
-    x = x.withColumn("cum", F.sum("n").over(w.orderBy("hi", "lv").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    hit = lambda q: (F.col("cum") >= F.ceil(F.col("total") * q)) & (F.col("cum") - F.col("n") < F.ceil(F.col("total") * q))
-    return x.groupBy(*dims).agg(
-        F.max("total").alias("n"),
-        (F.floor(F.max("total") / k) * LOG_U).alias("rank_error"),
-        *(F.min(F.when(hit(q), F.col("hi"))).alias(f"leaf_{round(q * 100):02d}") for q in probs),
-    )
+    """dims..., n, rank_error (in ranks, guaranteed), nodes (of the compressed digest), inner (those above the leaves), then
+    ``leaf_name(q)`` per probability: the leaf at the end of the node that holds the rank.
+
+    Digests of finer groups than ``dims`` are merged and compressed first, in the same pass.
+    """
+    names = [leaf_name(q) for q in probs]
+    schema = digests.select(*dims).schema
+    for c in ("n", "rank_error", "nodes", "inner", *names):
+        schema = schema.add(c, T.LongType())
+
+    def fn(t: pa.Table, start: np.ndarray) -> pa.Table:
+        g, node, n = _compressed(t, start, k)
+        total, nodes, inner, leaves = read_ranks(g, node, n, len(start), probs)
+        cols = [total, total // k * LOG_U, nodes, inner, *leaves]
+        return pa.Table.from_arrays([*_heads(t, start), *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
+
+    return _by_group(_added(digests, dims), dims, fn, schema)
+
+
+def read_ranks(g: np.ndarray, node: np.ndarray, n: np.ndarray, groups: int, probs: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Per group: N, nodes, nodes above the leaves, and for each probability the end of the node that holds the rank, nodes in the order of their ends."""
+    lv = node >> LOG_U
+    hi = (((node & (_U - 1)) + 1) << lv) - 1
+    order = np.lexsort((lv, hi, g))
+    g, hi, cum = g[order], hi[order], np.cumsum(n[order])
+    nodes = np.bincount(g, minlength=groups)
+    last = np.cumsum(nodes) - 1
+    before = np.append(0, cum[last][:-1])
+    total = cum[last] - before
+    rank = lambda q: np.maximum(np.ceil(np.round(total * q, 9)), 1).astype(np.int64)
+    return total, nodes, np.bincount(g, weights=lv[order] > 0, minlength=groups).astype(np.int64), [hi[np.searchsorted(cum, before + rank(q))] for q in probs]

@@ -112,16 +112,15 @@ def _scope_rows(d: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _p2_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    """Digests per (day, node, generator), merged by node addition to each scope, then queried."""
+    """Digests per (day, node, generator), merged by node addition to each scope, compressed again, then queried."""
     base = percentiles.digest(_runtimes(spark, folder), "runtime", _P2_DIMS)
-    dims = ["scope", *_P2_DIMS]
-    return percentiles.quantiles(percentiles.merge(_scope_rows(base, ["node", "n"]), dims), dims, PROBS)
+    return percentiles.quantiles(_scope_rows(base, ["node", "n"]), ["scope", *_P2_DIMS], PROBS)
 
 
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of runtime per node, generator, both and day, with the guaranteed rank error."""
     q = _p2_estimates(spark, folder)
-    return q.select("scope", *_P2_DIMS, "n", "rank_error", *(percentiles.value_of(F.col(f"leaf_{round(p * 100)}")).alias(f"p{round(p * 100)}") for p in PROBS))
+    return q.select("scope", *_P2_DIMS, "n", "rank_error", *(percentiles.value_of(F.col(percentiles.leaf_name(p))).alias(f"p{round(p * 100)}") for p in PROBS))
 
 
 def p2_rank_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +134,7 @@ def p2_rank_check(spark: SparkSession, folder: str) -> DataFrame:
     aggs, oks = [F.sum("r.c").alias("n"), F.first("e.rank_error").alias("rank_error")], []
     for p in PROBS:
         x = f"{round(p * 100)}"
-        lo, hi = percentiles.edges(F.col(f"e.leaf_{x}"))
+        lo, hi = percentiles.edges(F.col(f"e.{percentiles.leaf_name(p)}"))
         aggs += [F.sum(F.when(F.col("r.runtime") < lo, F.col("r.c")).otherwise(0)).alias(f"b{x}"), F.sum(F.when(F.col("r.runtime") <= hi, F.col("r.c")).otherwise(0)).alias(f"t{x}")]
         rank = F.ceil(F.col("n") * p)
         oks.append(((F.col(f"b{x}") - F.col("rank_error") < rank) & (F.col(f"t{x}") + F.col("rank_error") >= rank)).alias(f"ok{x}"))
@@ -151,6 +150,15 @@ P2_RANK_SQL = (
 )
 
 
+def p2_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Per scope: digests, values, whether each digest keeps to 3 k nodes and a root's path, and whether some were compressed (have nodes above the leaves)."""
+    fits = F.col("nodes") <= 3 * percentiles.K + percentiles.LOG_U
+    return _p2_estimates(spark, folder).groupBy("scope").agg(F.count(F.lit(1)).alias("digests"), F.sum("n").alias("n_values"), F.min(fits).alias("bounded"), (F.max("inner") > 0).alias("compressed"))
+
+
+P2_DIGESTS_SQL = f"SELECT scope, count(*) AS digests, CAST(sum(n) AS BIGINT) AS n_values, TRUE AS bounded, max(n) >= {percentiles.K} AS compressed FROM ({P2_RANK_SQL}) GROUP BY scope"
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three best results of every (generator, seed)."""
     rows = table(spark, folder, "cache_results").select(key("prng_type").alias("prng_type"), "seed", "mapping_type", "samples", "parameter_hash", "composite_score", "id")
@@ -223,6 +231,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_distinct_studies": p1_distinct_studies,
         "p2_percentiles": p2_percentiles,
         "p2_rank_check": p2_rank_check,
+        "p2_digests": p2_digests,
         "p3_found": p3_found,
         "p6_ids": p6_ids,
         "p6_check": p6_check,
@@ -235,4 +244,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p3_found": P3_SQL, "p6_check": P6_CHECK_SQL}
+    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p2_digests": P2_DIGESTS_SQL, "p3_found": P3_SQL, "p6_check": P6_CHECK_SQL}

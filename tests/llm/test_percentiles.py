@@ -63,3 +63,36 @@ def test_rows_delivered_twice_count_once(spark, tmp_path):
     assert len(got) == 4 and all(r.n == 3 and abs(r.p50 / 2 - 1) < 0.002 for r in got)
     checked = queries.p2_rank_check(spark, str(tmp_path)).collect()
     assert len(checked) == 4 and all(r.n == 3 and r.ok50 and r.ok99 for r in checked)
+
+
+def test_many_small_digests_compress_once_merged(spark):
+    """No day has k values, so daily digests are leaves; their merge is compressed by the N of all."""
+    rng = np.random.default_rng(8)
+    n, k = 40_000, 512
+    v = rng.lognormal(0, 3, n)
+    pdf = pd.DataFrame({"day": (np.arange(n) % 200).astype(str), "g": np.where(np.arange(n) % 3 == 0, "hot", "x"), "v": v})
+    d = P.digest(spark.createDataFrame(pdf), "v", ["day", "g"], k)
+    assert d.where(f"node >= {1 << P.LOG_U}").count() == 0
+    m = P.merge(d, ["g"], k)
+    assert m.where(f"node >= {1 << P.LOG_U}").count() > 0
+    probs = [0.0, 0.5, 0.99, 0.994, 0.999]
+    rows = {r.g: r for r in P.quantiles(d, ["g"], probs, k).collect()}
+    again = {r.g: r for r in P.quantiles(m, ["g"], probs, k).collect()}
+    assert set(rows["hot"].asDict()) == {"g", "n", "rank_error", "nodes", "inner", "leaf_00", "leaf_50", "leaf_99", "leaf_99_4", "leaf_99_9"}
+    for g in ("hot", "x"):
+        x = v[(pdf["g"] == g).to_numpy()]
+        for r in (rows[g], again[g]):
+            assert r.n == len(x) and r.nodes <= 3 * k + P.LOG_U and 0 < r.inner and r.nodes < m.count()
+            for q in probs:
+                e = spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(P.edges(F.lit(r[P.leaf_name(q)]))))).first()
+                assert _rank_ok(x, max(q, 1e-9), e.c0, e.c1, r.rank_error)
+
+
+def test_groups_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([(g, float(i)) for g, n in (("a", 50), ("b", 1), ("c", 7), (None, 30)) for i in range(n)], "g string, v double")
+        got = {r.g: (r.n, r.nodes) for r in P.quantiles(P.digest(df, "v", ["g"]), ["g"], [0.5]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {"a": (50, 50), "b": (1, 1), "c": (7, 7), None: (30, 30)}
