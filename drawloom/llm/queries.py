@@ -142,7 +142,7 @@ def p2_rank_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 P2_RANK_SQL = (
-    f"WITH r AS (SELECT strftime(computed_at, '%Y-%m-%d') AS day, node_id, {key_sql('prng_type')} AS prng_type FROM cache_results WHERE runtime IS NOT NULL AND NOT isnan(runtime)) "
+    f"WITH r AS (SELECT strftime(computed_at, '%Y-%m-%d') AS day, node_id, {key_sql('prng_type')} AS prng_type FROM (SELECT DISTINCT ON (id) * FROM cache_results) WHERE runtime IS NOT NULL AND NOT isnan(runtime)) "
     + " UNION ALL ".join(
         f"SELECT '{s}' AS scope, {', '.join((c if c in cols else 'CAST(NULL AS VARCHAR)') + ' AS ' + c for c in _P2_DIMS)}, count(*) AS n, TRUE AS ok50, TRUE AS ok90, TRUE AS ok95, TRUE AS ok99 FROM r WHERE {' AND '.join(c + ' IS NOT NULL' for c in cols)} GROUP BY {', '.join(cols)}"
         for s, cols in _P2_SCOPES.items()
