@@ -49,6 +49,16 @@ def sketch(df: DataFrame, ident: str, sets: list[list[str]], dims: list[str]) ->
     )
 
 
+def scoped(sketches: DataFrame, scopes: dict[str, tuple[Column, dict[str, Column]]], dims: list[str]) -> DataFrame:
+    """scope, dims..., slot, bits: each sketch row once per scope whose condition it meets, with that scope's columns and the others null.
+
+    ``scopes`` gives a condition and the columns by name. Rows of one scope may share a group: ``merge`` puts them together.
+    """
+    kind = {d: sketches.schema[d].dataType for d in dims}
+    each = [F.when(ok, F.struct(F.lit(s).alias("scope"), *(cols.get(d, F.lit(None)).cast(kind[d]).alias(d) for d in dims))) for s, (ok, cols) in scopes.items()]
+    return sketches.select(F.explode(F.array_compact(F.array(*each))).alias("g"), "slot", "bits").select("g.*", "slot", "bits")
+
+
 def merge(sketches: DataFrame, dims: list[str]) -> DataFrame:
     """Sketches of the coarser groups ``dims``, by OR."""
     return sketches.groupBy(*dims, "slot").agg(F.bit_or("bits").alias("bits"))

@@ -10,53 +10,40 @@ from pyspark.sql import functions as F
 from drawloom.functions.keys import key, key_sql
 from drawloom.llm import distinct, packing, percentiles, pii, tokenize, topn
 from drawloom.sources.tables import table
+from drawloom.storage import written
 
 PROBS = [0.5, 0.9, 0.95, 0.99]
 
 
-def _scoped(parts: dict[str, DataFrame], dims: list[str]) -> DataFrame:
-    out = None
-    for name, d in parts.items():
-        d = d.select(F.lit(name).alias("scope"), *((F.col(c) if c in d.columns else F.lit(None).cast("string")).cast("string").alias(c) for c in dims), *(c for c in d.columns if c not in dims))
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
 def p1_distinct_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct seeds per day, generator, both, (generator, mapping) and month, each with its error bound."""
+    """Distinct seeds per day, generator, both, (generator, mapping) and month, each with its error bound.
+
+    Sketches per (day, generator) and (generator, mapping) are made from one scan and written: the partial results. The other scopes
+    are merges of them.
+    """
     rows = table(spark, folder, "cache_results").select(F.date_format("computed_at", "yyyy-MM-dd").alias("day"), key("prng_type").alias("prng_type"), "mapping_type", "seed")
     dims = ["day", "prng_type", "mapping_type"]
-    s = distinct.sketch(rows, "seed", [["day", "prng_type"], ["prng_type", "mapping_type"]], dims)
-    daily, mapped = s.where("grouping = 0"), s.where("grouping = 1 AND prng_type IS NOT NULL")
-    month = daily.withColumn("day", F.substring("day", 1, 7))
-    known = daily.where("prng_type IS NOT NULL")
-    est = lambda x, d, again=True: distinct.estimate(distinct.merge(x, d) if again else x, d)
-    return _scoped(
-        {
-            "day": est(daily, ["day"]),
-            "prng_type": est(known, ["prng_type"]),
-            "day_prng_type": est(known, ["day", "prng_type"], False),
-            "prng_type_mapping": est(mapped, ["prng_type", "mapping_type"], False),
-            "month": est(month, ["day"]),
-        },
-        dims,
-    )
+    s = written(distinct.sketch(rows, "seed", [["day", "prng_type"], ["prng_type", "mapping_type"]], dims), "sketches")
+    day, gen, known = F.col("day"), F.col("prng_type"), F.col("prng_type").isNotNull()
+    daily = F.col("grouping") == 0
+    merged = {"day": (daily, {"day": day}), "prng_type": (daily & known, {"prng_type": gen}), "month": (daily, {"day": F.substring("day", 1, 7)})}
+    ready = {"day_prng_type": (daily & known, {"day": day, "prng_type": gen}), "prng_type_mapping": (~daily & known, {"prng_type": gen, "mapping_type": F.col("mapping_type")})}
+    return _estimates(s, merged, ready, dims)
+
+
+def _estimates(s: DataFrame, merged: dict, ready: dict, dims: list[str]) -> DataFrame:
+    """Estimates of scopes that are merges of the sketches and of those that are there already."""
+    by = ["scope", *dims]
+    return distinct.estimate(distinct.merge(distinct.scoped(s, merged, dims), by).unionByName(distinct.scoped(s, ready, dims)), by)
 
 
 def p1_distinct_studies(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct studies per day, per generator and per both."""
     rows = table(spark, folder, "step1_trial_history").select(F.date_format("recorded_at", "yyyy-MM-dd").alias("day"), key("prng_type").alias("prng_type"), "study_name")
     dims = ["day", "prng_type"]
-    s = distinct.sketch(rows, "study_name", [dims], dims)
-    known = s.where("prng_type IS NOT NULL")
-    return _scoped(
-        {
-            "day": distinct.estimate(distinct.merge(s, ["day"]), ["day"]),
-            "prng_type": distinct.estimate(distinct.merge(known, ["prng_type"]), ["prng_type"]),
-            "day_prng_type": distinct.estimate(known, dims),
-        },
-        dims,
-    )
+    s = written(distinct.sketch(rows, "study_name", [dims], dims), "sketches")
+    day, gen, known, every = F.col("day"), F.col("prng_type"), F.col("prng_type").isNotNull(), F.lit(True)
+    return _estimates(s, {"day": (every, {"day": day}), "prng_type": (known, {"prng_type": gen})}, {"day_prng_type": (known, {"day": day, "prng_type": gen})}, dims)
 
 
 def _p1_sql(source: str, ident: str, scopes: dict[str, tuple[list[str], str]], dims: list[str]) -> str:
