@@ -146,11 +146,23 @@ def p2_digests(spark: SparkSession, folder: str) -> DataFrame:
 P2_DIGESTS_SQL = f"SELECT scope, count(*) AS digests, CAST(sum(n) AS BIGINT) AS n_values, TRUE AS bounded, max(n) >= {percentiles.K} AS compressed FROM ({P2_RANK_SQL}) GROUP BY scope"
 
 
+_P3 = (["prng_type", "seed"], "composite_score", "id", 3)
+_P3_SAME = ["mapping_type", "samples", "parameter_hash"]
+
+
+def _p3_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "cache_results").select(key("prng_type").alias("prng_type"), "seed", "mapping_type", "samples", "parameter_hash", "composite_score", "id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three best results of every (generator, seed)."""
-    rows = table(spark, folder, "cache_results").select(key("prng_type").alias("prng_type"), "seed", "mapping_type", "samples", "parameter_hash", "composite_score", "id")
-    items = topn.unique_items(rows, ["prng_type", "seed"], "composite_score", "id", ["mapping_type", "samples", "parameter_hash"])
-    return topn.top_n(items, ["prng_type", "seed"], "composite_score", "id", 3)
+    return topn.top_n(_p3_rows(spark, folder), *_P3, same=_P3_SAME)
+
+
+def p3_skipping(spark: SparkSession, folder: str) -> DataFrame:
+    """Items written in clusters, and whether row groups and rows were left unread."""
+    s = topn.skipping(_p3_rows(spark, folder), *_P3, same=_P3_SAME)
+    return s.agg(F.sum("n_rows").alias("items"), (F.sum("groups_read") < F.sum("row_groups")).alias("groups_skipped"), (F.sum("rows_read") < F.sum("n_rows")).alias("rows_skipped"))
 
 
 P3_SQL = f"""WITH c AS (SELECT {key_sql('prng_type')} AS prng_type, seed, mapping_type, samples, parameter_hash, composite_score, id FROM cache_results
@@ -160,6 +172,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY prng_type, seed ORDER BY s DESC,
 SELECT prng_type, seed, CAST(rank_no AS INTEGER) AS rank_no, id FROM k WHERE rank_no <= 3"""
 
 
+P3_SKIPPING_SQL = f"""SELECT count(*) AS items, TRUE AS groups_skipped, TRUE AS rows_skipped FROM (SELECT DISTINCT {key_sql('prng_type')} AS prng_type, seed, mapping_type, samples, parameter_hash FROM cache_results
+ WHERE seed IS NOT NULL AND composite_score IS NOT NULL AND NOT isnan(composite_score) AND {key_sql('prng_type')} IS NOT NULL)"""
+
+
 CAPACITY = 2048
 
 
@@ -220,6 +236,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_rank_check": p2_rank_check,
         "p2_digests": p2_digests,
         "p3_found": p3_found,
+        "p3_skipping": p3_skipping,
         "p6_ids": p6_ids,
         "p6_check": p6_check,
         "p7_containers": p7_containers,
@@ -231,4 +248,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p2_digests": P2_DIGESTS_SQL, "p3_found": P3_SQL, "p6_check": P6_CHECK_SQL}
+    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p2_digests": P2_DIGESTS_SQL, "p3_found": P3_SQL, "p3_skipping": P3_SKIPPING_SQL, "p6_check": P6_CHECK_SQL}

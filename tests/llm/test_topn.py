@@ -48,3 +48,40 @@ def test_unique_items_nulls_and_empty(spark):
     got = [(r.p, r.seed, r.rank_no, r.id) for r in topn.top_n(items, ["p", "seed"], "score", "id", 3).orderBy("rank_no").collect()]
     assert got == [("a", 1, 1, 10), ("a", 1, 2, 4)]
     assert topn.top_n(items.where("false"), ["p", "seed"], "score", "id", 3).count() == 0
+
+
+def test_groups_over_files_and_unread_row_groups(spark, tmp_path):
+    """Three hot groups over several files, ties at the N-th place, equal items: the winners, with most row groups unread."""
+    rnd = random.Random(9)
+    rows = [(f"h{i % 3}", i % 5, round(rnd.random(), 3), i, f"k{i // 2}") for i in range(60_000)] + [(f"s{i}", 0, 0.5, 60_000 + i, "k") for i in range(500)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["g", "s", "score", "id", "k"]))
+    seen, uniq = set(), []
+    for r in rows:
+        if (r[0], r[1], r[4]) not in seen:
+            seen.add((r[0], r[1], r[4]))
+            uniq.append(((r[0], r[1]), r[2], r[3]))
+    for same, want in ((["k"], uniq), (None, [((r[0], r[1]), r[2], r[3]) for r in rows])):
+        got = {((r.g, r.s), r.rank_no, r.id) for r in topn.top_n(df, ["g", "s"], "score", "id", 3, row_group_bytes=4096, same=same).collect()}
+        assert got == _brute(want, 3)
+    s = topn.skipping(df, ["g", "s"], "score", "id", 3, row_group_bytes=4096, same=["k"]).collect()
+    assert sum(r.n_rows for r in s) == len(uniq) and sum(r.groups_read for r in s) < 0.5 * sum(r.row_groups for r in s)
+
+
+def test_edges_and_insides_of_a_file(tmp_path):
+    rows = [("a", 1, 1 - i / 3000, i) for i in range(3000)] + [("b", i, 0.5, i) for i in range(40)] + [("c", 9, 1 - i / 3000, i) for i in range(3000)]
+    f = tmp_path / "x.parquet"
+    pd.DataFrame(rows, columns=["g", "s", "score", "id"]).to_parquet(f, row_group_size=500)
+    p = pq.ParquetFile(f)
+    assert topn.edge_groups(p, ["g", "s"]) == (("a", 1), ("c", 9))
+    edge, inner = (topn.winners(p, ["g", "s"], "score", 3, e) for e in (True, False))
+    assert edge.column("g").to_pylist() == ["a"] * 3 + ["c"] * 3 and edge.column("rank_no").to_pylist() == [1, 2, 3, 1, 2, 3]
+    assert inner.column("g").to_pylist() == ["b"] * 40 and set(inner.column("rank_no").to_pylist()) == {1}
+    assert len(list(topn.read_best(p, ["g", "s"], "score", 3, False))) == 1
+
+
+def test_unknown_file_system_is_refused(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(topn, "scratch_path", lambda spark, name: f"abfss://x@y/{name}")
+    with pytest.raises(ValueError, match="shared folder"):
+        topn.cluster(spark.range(1).selectExpr("id", "id as g", "1.0D as score"), ["g"], "score", "id")
