@@ -13,39 +13,51 @@ from drawloom.sources.tables import table
 from drawloom.storage import written
 
 
-def _attempts(spark: SparkSession, folder: str, field: str) -> DataFrame:
-    a = table(spark, folder, "attempts")
-    return a.select(F.col("id").cast("string").alias("ref_id"), key(field).alias("key"), F.col("attempted_at").alias("at"), F.date_format("attempted_at", "yyyy-MM").alias("period"))
+_FIELDS = {"attempts.fingerprint": ("fingerprint", "fingerprint_summary", "first_seen"), "attempts.run_id": ("run_id", "runs", "started_at")}
 
 
-def _p4(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame]]:
-    """(ref_field, rows, counts) of the three references."""
-    s = table(spark, folder, "fingerprint_summary").select(key("fingerprint").alias("key"), F.col("first_seen").alias("start"), F.col("deleted_at").alias("end"))
-    r = table(spark, folder, "runs").select(key("run_id").alias("key"), F.col("started_at").alias("start"), F.col("deleted_at").alias("end"))
-    out = []
-    for field, recs in (("fingerprint", s), ("run_id", r)):
-        out.append((f"attempts.{field}", *references.orphans(_attempts(spark, folder, field), recs)))
-    alone = references.never_referred(s, _attempts(spark, folder, "fingerprint")).select(F.col("key").alias("ref_id"), F.date_format("start", "yyyy-MM").alias("period"), F.lit("missing").alias("why")).distinct()
-    out.append(("fingerprint_summary.fingerprint", alone, alone.groupBy("period", "why").agg(F.count(F.lit(1)).alias("n"))))
-    return out
+def _p4(spark: SparkSession, folder: str) -> tuple[references.Judged, DataFrame]:
+    """The references of attempts, both fields in one pass, judged; and the summaries that no attempt is of."""
+    rows = table(spark, folder, "attempts").select("id", key("fingerprint").alias("fingerprint"), key("run_id").alias("run_id"), "attempted_at").distinct()
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("ref_field"), F.col(c).alias("key")) for f, (c, _, _) in _FIELDS.items())))
+    refs = rows.select(F.col("id").cast("string").alias("ref_id"), F.col("attempted_at").alias("at"), F.date_format("attempted_at", "yyyy-MM").alias("period"), each.alias("f"))
+    recs = [table(spark, folder, t).select(F.lit(f).alias("ref_field"), key(c).alias("key"), F.col(start).alias("start"), F.col("deleted_at").alias("end")) for f, (c, t, start) in _FIELDS.items()]
+    # distinct attempts that repeat an id with other times or keys may still give one reference twice
+    j = references.judge(refs.select("ref_id", "at", "period", "f.*"), recs[0].unionByName(recs[1]), ["ref_field"])
+    alone = references.never_referred(recs[0], j.cells.where("ref_field = 'attempts.fingerprint'"))
+    alone = alone.select(F.lit("fingerprint_summary.fingerprint").alias("ref_field"), F.col("key").alias("row_key"), F.date_format("start", "yyyy-MM").alias("month_key"), F.lit("missing").alias("why")).distinct()
+    return j, alone
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row per orphan reference."""
-    out = None
-    for field, rows, _ in _p4(spark, folder):
-        d = rows.select(F.lit(field).alias("ref_field"), F.col("ref_id").alias("row_key"), F.col("period").alias("month_key"), "why")
-        out = d if out is None else out.unionByName(d)
-    return out
+    j, alone = _p4(spark, folder)
+    return j.rows().select("ref_field", F.col("ref_id").alias("row_key"), F.col("period").alias("month_key"), "why").unionByName(alone)
 
 
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references per reference, month and kind."""
-    out = None
-    for field, _, counts in _p4(spark, folder):
-        d = counts.select(F.lit(field).alias("ref_field"), F.col("period").alias("month_key"), "why", F.col("n").cast("bigint").alias("n_refs"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    j, alone = _p4(spark, folder)
+    own = j.counts().select("ref_field", F.col("period").alias("month_key"), "why", F.col("n").alias("n_refs"))
+    return own.unionByName(alone.groupBy("ref_field", "month_key", "why").agg(F.count(F.lit(1)).alias("n_refs")))
+
+
+def p4_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Per reference: the heavy keys that are joined apart, their references, and the orphans among these and among all others."""
+    j, _ = _p4(spark, folder)
+    rows = j.rows().groupBy("ref_field", "key").agg(F.count(F.lit(1)).alias("n"))
+    heavy = F.broadcast((j.heavy if j.heavy is not None else j.cells.limit(0)).select("ref_field", "key", F.col("n").alias("_n")))
+    hot = lambda c: F.coalesce(F.sum(F.when(F.col("_n").isNotNull(), F.col(c))), F.lit(0))
+    o = rows.join(heavy, ["ref_field", "key"], "left").groupBy("ref_field").agg(hot("n").alias("heavy_orphans"), F.coalesce(F.sum(F.when(F.col("_n").isNull(), F.col("n"))), F.lit(0)).alias("other_orphans"))
+    k = j.cells.groupBy("ref_field", "key").agg(F.sum("n").alias("n")).join(heavy, ["ref_field", "key"], "left").groupBy("ref_field").agg(F.count("_n").alias("heavy_keys"), hot("n").alias("heavy_refs"), F.sum("n").alias("refs"))
+    return k.join(o, "ref_field", "left").select("ref_field", "heavy_keys", "heavy_refs", "refs", "heavy_orphans", "other_orphans")
+
+
+_P4_SPLIT_SQL = f"""WITH a AS (SELECT DISTINCT id, attempted_at, f.ref_field, f.key FROM attempts, LATERAL (VALUES ('attempts.fingerprint', {key_sql('fingerprint')}), ('attempts.run_id', {key_sql('run_id')})) f(ref_field, key) WHERE f.key IS NOT NULL),
+k AS (SELECT ref_field, key, count(*) AS n FROM a GROUP BY ALL), h AS (SELECT * FROM k WHERE n >= {references.HEAVY_TIMES} * (SELECT avg(n) FROM k) ORDER BY n DESC, ref_field, key LIMIT {references.HEAVY_KEYS}),
+o AS (SELECT f.ref_field, CASE f.ref_field WHEN 'attempts.run_id' THEN {key_sql('a.run_id')} ELSE {key_sql('a.fingerprint')} END AS key FROM (@FOUND@) f JOIN (SELECT DISTINCT id, fingerprint, run_id FROM attempts) a ON f.row_key = CAST(a.id AS VARCHAR) WHERE f.ref_field LIKE 'attempts.%'),
+c AS (SELECT o.ref_field, count(h.key) AS hot, count(*) - count(h.key) AS cold FROM o LEFT JOIN h USING (ref_field, key) GROUP BY o.ref_field)
+SELECT k.ref_field, count(h.key) AS heavy_keys, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS heavy_refs, CAST(sum(k.n) AS BIGINT) AS refs, any_value(c.hot) AS heavy_orphans, any_value(c.cold) AS other_orphans FROM k LEFT JOIN h USING (ref_field, key) LEFT JOIN c USING (ref_field) GROUP BY k.ref_field"""
 
 
 def _p4_sql() -> str:
@@ -91,8 +103,8 @@ def p5_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_incidents": p5_incidents, "p5_registry": p5_registry}
+    return {"p4_found": p4_found, "p4_counts": p4_counts, "p4_split": p4_split, "p5_found": p5_found, "p5_incidents": p5_incidents, "p5_registry": p5_registry}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _p4_sql(), "p4_counts": f"SELECT ref_field, month_key, why, count(*) AS n_refs FROM ({_p4_sql()}) GROUP BY ALL"}
+    return {"p4_found": _p4_sql(), "p4_split": _P4_SPLIT_SQL.replace("@FOUND@", _p4_sql()), "p4_counts": f"SELECT ref_field, month_key, why, count(*) AS n_refs FROM ({_p4_sql()}) GROUP BY ALL"}

@@ -29,8 +29,8 @@ def _frames(spark, refs, recs):
     return r, c
 
 
-@pytest.mark.parametrize("least", [50, 10**9])
-def test_against_brute_force_with_a_hot_key(spark, least):
+@pytest.mark.parametrize("least,most", [(50, 20_000), (10**9, 20_000), (50, 0), (None, 20_000), (None, 1)])
+def test_against_brute_force_with_a_hot_key(spark, least, most):
     rnd = random.Random(8)
     day = lambda a=0, b=120: T0 + dt.timedelta(hours=rnd.randrange(a * 24, b * 24))
     keys = [f"k{i}" for i in range(80)]
@@ -42,7 +42,7 @@ def test_against_brute_force_with_a_hot_key(spark, least):
         at = None if rnd.random() < 0.02 else day()
         refs.append((str(i), k, at, at and at.strftime("%Y-%m")))
     refs += refs[:50]
-    rows, counts = references.orphans(*_frames(spark, refs, recs), least=least)
+    rows, counts = references.orphans(*_frames(spark, refs, recs), least=least, most=most)
     want = _brute(refs, recs)
     got = [(r.ref_id, r.period, r.why) for r in rows.collect()]
     assert len(got) == len(set(got)) and set(got) == want
@@ -61,3 +61,16 @@ def test_edges_and_empty_tables(spark):
     assert {x.why for x in references.orphans(r, c.where("false"))[0].collect()} == {"missing"}
     assert references.orphans(r.where("false"), c)[0].count() == 0
     assert [x.key for x in references.never_referred(c, r.where("key <> 'k'")).collect()] == ["k"]
+
+
+def test_heavy_keys_are_split_by_broadcast_or_salt(spark):
+    """A key with a third of all rows: found from the cells, apart from the others, in many parts where the other side is too large."""
+    refs = [(str(i), "hot" if i % 3 == 0 else f"k{i % 50}", T0 + dt.timedelta(hours=i), "p") for i in range(900)]
+    r, c = _frames(spark, refs, [("hot", T0 + dt.timedelta(hours=450), None)])
+    for most, plan in ((20_000, "BroadcastHashJoin"), (0, "_salt")):
+        j = references.judge(r, c, most=most)
+        assert [x.key for x in j.heavy.collect()] == ["hot"]
+        rows = j.rows()
+        assert plan in rows._jdf.queryExecution().toString()
+        got = {(x.ref_id, x.why) for x in rows.collect()}
+        assert got == {(i, "late" if k == "hot" else "missing") for i, k, at, _ in refs if k != "hot" or at < T0 + dt.timedelta(hours=450)}
