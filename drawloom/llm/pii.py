@@ -6,10 +6,12 @@ persons by a lexicon of name parts, generalised: family names that share a begin
 known, and a capitalised word before a family name as a given name.
 
 ``surrogates`` replaces each entity by another one of its type: keyed by a secret, so that an entity has the same replacement in
-all documents (coreference), of the same form (digits for digits, letters for letters, case and separators kept; names by
-names of the same language, kind and, as far as the lexicon tells, gender). Two entities never share a replacement: e-mail
-addresses, phones, id numbers and addresses are recoded by a keyed permutation of all texts of their form; candidate replacements
-are checked for collisions by a shuffle on the replacement, and names (or addresses) that collide are ranked and told apart.
+all documents (coreference; within a document "J. Smith" is the one full name there that it fits), of the same form (digits for
+digits, letters for letters of the same script, case and separators kept; names by names of the same language and gender, as far
+as the lexicon, the titles before a given name in all documents, or else its ending tell). Two entities never share a replacement,
+and no replacement is an entity of the corpus: candidates are drawn again, keyed by entity and round, until an anti-join with both
+the corpus' entities and what was given already leaves none. Later rounds draw from larger spaces (double family names, recoded
+names, longer texts), so that this ends.
 
 Defined results: null texts have no places and stay null; empty texts stay empty. Texts are read whole, of any length, in time
 linear in it. Repeated rows give repeated places.
@@ -24,12 +26,13 @@ import hmac
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawloom.operators.references import heavy_keys, split_join
 from drawloom.storage import spread, written
 
 KINDS = ("email", "id_number", "phone", "address", "name")
@@ -382,7 +385,13 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
 # ---- entities and their replacements ---------------------------------------------------------------------------------
 
 _SPELLED = re.compile(r"(?i)(?<=[\w\])])[ ]?(?:[(\[](at|dot)[)\]]|(?<= )(at|dot)(?= ))[ ]?")
-_ROMANCE_F = frozenset("lucia marisol rocio amparo belen nuria carmen elena isabel maelle oceane solene capucine elodie anais brenna delphine".split())
+_TITLED = re.compile(r"(?i)(?<!\w)(?:(mrs|ms|miss|frau|sra|señora|srta|señorita|doña|mme|mlle|madame|mademoiselle)|(mr|herrn?|sr|señor|monsieur))\.?[ \u00a0]$")
+
+
+def titled(text: str, at: int) -> str | None:
+    """The gender that a title straight before a name tells: f, m or none."""
+    m = _TITLED.search(text[max(0, at - 16) : at])
+    return m and ("f" if m.group(1) else "m")
 
 
 def entity_key(kind: str, s: str) -> str:
@@ -396,10 +405,7 @@ def entity_key(kind: str, s: str) -> str:
     if kind == "id_number":
         return re.sub(r"\W", "", s).upper()
     if kind == "name":
-        if "," in s:
-            a, _, b = s.partition(",")
-            s = f"{b} {a}"
-        return " ".join(w for w in (fold(x).strip(".") for x in s.split()) if w)
+        return " ".join(_name_words(s))
     return " ".join(fold(s).replace(",", " ").split())
 
 
@@ -460,31 +466,54 @@ def _recode(s: str, secret: bytes, tweak: str, stay: Collection[int] = ()) -> st
     return "".join(out)
 
 
+#: From this attempt on candidates are longer than what they replace, by one character more each time.
+LONGER = 4
+
+
 def candidate(kind: str, key: str, attempt: int, secret: bytes, pools: dict[str, list[str]]) -> str:
-    """A replacement of an entity's key. E-mail addresses, phones and id numbers are recoded one to one within their form; for others each attempt gives another one."""
+    """A replacement of an entity's key; each attempt gives another one.
+
+    All kinds but names are recoded one to one within their form, so that those of one attempt only meet what other attempts gave.
+    Names are drawn from the pools, then with double family names, then recoded.
+    """
+    again = f" {attempt}" if attempt else ""
+    rnd = _stream(secret, kind, key, attempt)
+    more = "".join("0123456789"[next(rnd) % 10] for _ in range(attempt - LONGER + 1))
     if kind == "email":
         local, _, domain = key.partition("@")
         labels = domain.split(".")
         host = ".".join([_recode(x, secret, "host") for x in labels[:-1]] + labels[-1:])
-        return f"{_recode(local, secret, f'email {domain}')}@{host}"
+        return f"{more}{_recode(local, secret, f'email {domain}{again}')}@{host}"
     if kind == "phone":
         first = min(3, max(0, len(key) - 7))
-        return _recode(key, secret, f"phone {key[:first]}", range(first))
+        return more + _recode(key, secret, f"phone {key[:first]}{again}", range(first))
     if kind == "id_number":
-        return _recode(key, secret, kind)
-    rnd = _stream(secret, kind, key, attempt)
+        return more + _recode(key, secret, kind + again)
     if kind == "name":
-        words = key.split()
-        lang, sex = name_class(words, pools)
-        pick = lambda pool: pool[(next(rnd) * 65536 + next(rnd) * 256 + next(rnd)) % len(pool)]
-        given = [fold(pick(pools.get(f"given-{lang}-{sex}") or pools["given"])) if len(w) > 1 else "abcdefghijklmnoprstuvw"[next(rnd) % 22] for w in words[:1]]
-        mid = ["abcdefghijklmnoprstuvw"[next(rnd) % 22] if len(w) == 1 else w if w in _PARTICLES else fold(pick(pools["given"])) for w in words[1:-1]]
-        fam = fold(pick(pools.get(f"family-{lang}") or pools["family"]))
-        if "-" in words[-1] or attempt:
-            fam += "-" + fold(pick(pools["family"]))
-        return " ".join([*given, *mid, fam])
+        return _other_name(key.split(), attempt, rnd, secret, pools)
     stay = {i for m in re.finditer(r"\S+", key) if _FIXED_WORD.fullmatch(m.group()) for i in range(*m.span())}
-    return _recode(key, secret, f"{kind} {attempt}", stay)
+    return _recode(key, secret, f"{kind} {attempt}", stay) + more
+
+
+_INITIALS = "abcdefghijklmnoprstuvw"
+
+
+def _other_name(words: list[str], attempt: int, rnd: Iterator[int], secret: bytes, pools: dict[str, list[str]]) -> str:
+    """Given names, initials and particles as in ``words``, then a family name."""
+    number = lambda n: (next(rnd) * 65536 + next(rnd) * 256 + next(rnd)) % n
+    if not words or attempt >= 3 or not all(unicodedata.name(c, "").startswith("LATIN") for w in words for c in w if c.isalpha()):
+        # another script, or no names left: the letters are recoded, longer ones where these are taken too
+        tail = "".join(_INITIALS[number(len(_INITIALS))] for _ in range(attempt - LONGER + 1))
+        return " ".join(w if w in _PARTICLES else _recode(w, secret, f"name {attempt}") for w in words) + tail
+    lang, sex = name_class(words, pools)
+    pick = lambda pool: fold(pool[number(len(pool))])
+    initial = lambda: _INITIALS[number(len(_INITIALS))]
+    given = [pick(pools.get(f"given-{lang}-{sex}") or pools["given"]) if len(w) > 1 else initial() for w in words[:1]]
+    mid = [initial() if len(w) == 1 else w if w in _PARTICLES else pick(pools["given"]) for w in words[1:-1]]
+    fam = pick(pools.get(f"family-{lang}") or pools["family"])
+    if "-" in words[-1] or attempt:
+        fam += "-" + pick(pools["family"])
+    return " ".join([*given, *mid, fam])
 
 
 _FIXED_WORD = re.compile(
@@ -494,48 +523,69 @@ _FIXED_WORD = re.compile(
 
 
 def name_class(words: list[str], pools: dict[str, list[str]]) -> tuple[str, str]:
-    """Language and gender of a name, as far as the lexicon and the given name's ending tell."""
+    """Language and gender of a name: what the lexicon knows, what titles told of the given name, else what its ending tells."""
     lang = next((x for w in reversed(words) for x in pools.get(f"lang:{w}", ())), "en")
     g = words[0]
-    return lang, "f" if g in _ROMANCE_F or (g.endswith(("a", "ie", "ine")) and len(g) > 2) else "m"
+    known = pools.get(f"sex:{g}")
+    return lang, known[0] if known else "f" if g.endswith(("a", "ie", "ine")) and len(g) > 2 else "m"
 
 
-def make_pools(parts: list[tuple[str, str, str]]) -> dict[str, list[str]]:
-    pools: dict[str, list[str]] = defaultdict(list)
+def make_pools(parts: list[tuple[str, str, str]], sexes: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """Name parts by kind, language and gender; ``sexes`` tells the gender of given names in lower case without accents."""
+    pools: dict[str, list[str]] = defaultdict(list, {f"sex:{g}": [x] for g, x in (sexes or {}).items()})
     for part, kind, lang in sorted(parts):
         pools[kind].append(part)
         pools[f"lang:{fold(part)}"].append(lang)
-        pools[f"family-{lang}" if kind == "family" else f"given-{lang}-{name_class([fold(part)], {})[1]}"].append(part)
+        pools[f"family-{lang}" if kind == "family" else f"given-{lang}-{name_class([fold(part)], pools)[1]}"].append(part)
     pools["given"] = pools["given"] or ["Alex"]
     pools["family"] = pools["family"] or ["Doe"]
     return dict(pools)
 
 
+def _name_words(s: str) -> list[str]:
+    """The words of a name, given names first."""
+    if "," in s:
+        a, _, b = s.partition(",")
+        s = f"{b} {a}"
+    return [w for w in (fold(x).strip(".") for x in s.split()) if w]
+
+
 def render(kind: str, seen: str, new: str) -> str:
-    """The replacement in the writing that was found: order, case, separators, spelled-out signs."""
+    """The replacement in the writing that was found: order, case, separators, initials, spelled-out signs."""
     if kind == "name":
-        words = new.split()
+        words, was = new.split(), _name_words(seen)
         given, fam = words[:-1], words[-1]
+        # an initial for an initial, and no more given names than were there
+        given = [w if w in _PARTICLES and w == o else w[:1] if len(o) == 1 else w for w, o in zip(given, was[:-1])]
         up = lambda w: "-".join(p[:1].upper() + p[1:] for p in w.split("-"))
         given = [up(w) + "." if len(w) == 1 else w if w in _PARTICLES else up(w) for w in given]
         t = f"{up(fam)}, {' '.join(given)}" if "," in seen else " ".join([*given, up(fam)])
         letters = [c for c in seen if c.isalpha()]
         return t.upper() if len(letters) > 3 and seen.upper() == seen else t.lower() if seen.lower() == seen else t
     if kind == "address":
-        it = iter(new.split())
+        words = new.split()
+        it = iter(words)
         return re.sub(r"[^\s,]+", lambda m: _cased(m.group(), next(it, m.group())), seen)
     keep = set()
     if kind == "email":
         for m in _SPELLED.finditer(seen):
             keep |= set(range(m.start(), m.end()))
-    chars = iter([c for c in new if c.isalnum()])
     if kind == "phone":
         keep |= {m.start() + 1 for m in re.finditer(r"\(0\)", seen)}
         keep |= {0, 1} if seen.startswith("00") else {1, 2} if seen.startswith("(00") else set()
         keep |= {i for i, c in enumerate(seen) if not c.isdecimal()}
     # a character that lower case makes several of, in the key of an e-mail address, takes as many
     many = lambda c: sum(x.isalnum() for x in c.casefold()) if kind == "email" else 1
-    return "".join(c if i in keep or not c.isalnum() else _cased(c, "".join(next(chars, "") for _ in range(many(c)))) for i, c in enumerate(seen))
+    letters = [c for c in new if c.isalnum()]
+    places = [i for i, c in enumerate(seen) if i not in keep and c.isalnum()]
+    # what a longer replacement has more stands before the first place
+    extra = max(0, len(letters) - sum(many(seen[i]) for i in places))
+    chars, out = iter(letters[extra:]), list(seen)
+    for i in places:
+        out[i] = _cased(seen[i], "".join(next(chars, "") for _ in range(many(seen[i]))))
+    if places and extra:
+        out[places[0]] = "".join(letters[:extra]) + out[places[0]]
+    return "".join(out)
 
 
 def _cased(like: str, s: str) -> str:
@@ -546,7 +596,7 @@ def _cased(like: str, s: str) -> str:
 
 #: The lexicon of name parts goes to every executor; it is refused beyond this many rows.
 MOST_PARTS = 200_000
-PLACE = "array<struct<kind:string,start_pos:int,end_pos:int,entity:string>>"
+PLACE = "array<struct<kind:string,start_pos:int,end_pos:int,entity:string,title:string>>"
 
 
 def lexicon(parts: DataFrame) -> list[tuple[str, str, str]]:
@@ -557,6 +607,21 @@ def lexicon(parts: DataFrame) -> list[tuple[str, str, str]]:
     return [(r[0], r[1], r[2] or "en") for r in rows]
 
 
+def entities(text: str | None, names: Names) -> list[dict]:
+    """The places of a text with their entities. An initial with a family name is the one full name of the text that it fits, if there is only one."""
+    out = [{"kind": k, "start_pos": a, "end_pos": b, "entity": entity_key(k, text[a:b]), "title": titled(text, a) if k == "name" else None} for k, a, b in find_places(text, names)]
+    full: dict[tuple, set[str]] = defaultdict(set)
+    for p in out:
+        w = p["entity"].split() if p["kind"] == "name" else ()
+        if len(w) > 1 and len(w[0]) > 1:
+            full[w[0][0], w[-1]].add(p["entity"])
+    for p in out if full else ():
+        w = p["entity"].split()
+        if p["kind"] == "name" and len(w) > 1 and len(w[0]) == 1 and len(one := full.get((w[0], w[-1]), ())) == 1:
+            p["entity"] = next(iter(one))
+    return out
+
+
 def places(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str]], mask: bool = False) -> DataFrame:
     """ident, places (with each entity's key) and, with ``mask``, the text with typed placeholders, numbered by entity within the text."""
     src = spread(df.select(F.col(ident).alias("_id"), F.col(text).alias("_text")))
@@ -565,19 +630,15 @@ def places(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(parts)
         for b in batches:
-            out, masked = [], []
-            for t in b.column(1).to_pylist():
-                found = [{"kind": k, "start_pos": s, "end_pos": e, "entity": entity_key(k, t[s:e])} for k, s, e in find_places(t, names)]
-                out.append(found)
-                if mask:
-                    masked.append(_masked(t, found))
-            cols = [b.column(0), pa.array(out, _PLACE_TYPE)] + ([pa.array(masked, pa.string())] if mask else [])
+            texts = b.column(1).to_pylist()
+            out = [entities(t, names) for t in texts]
+            cols = [b.column(0), pa.array(out, _PLACE_TYPE)] + ([pa.array([_masked(t, x) for t, x in zip(texts, out)], pa.string())] if mask else [])
             yield pa.RecordBatch.from_arrays(cols, names=["_id", "places"] + (["masked"] if mask else []))
 
     return src.mapInArrow(run, schema).withColumnRenamed("_id", ident)
 
 
-_PLACE_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("entity", pa.string())]))
+_PLACE_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("entity", pa.string()), ("title", pa.string())]))
 
 
 def _masked(text: str | None, found: list[dict]) -> str | None:
@@ -591,52 +652,110 @@ def _masked(text: str | None, found: list[dict]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def replacements(entities: DataFrame, secret: str, parts: list[tuple[str, str, str]], rounds: int = 2) -> DataFrame:
-    """kind, entity, replacement for distinct entities, no replacement twice.
+def genders(each: DataFrame, parts: list[tuple[str, str, str]]) -> dict[str, str]:
+    """The gender of the lexicon's given names, by the titles before them in all documents; at most one entry per name of the lexicon."""
+    spark = each.sparkSession
+    known = spark.createDataFrame(sorted({(fold(p),) for p, kind, _ in parts if kind == "given"}), "given string")
+    t = each.where("kind = 'name' AND title IS NOT NULL").select(F.substring_index("entity", " ", 1).alias("given"), F.when(F.col("title") == "f", 1).otherwise(-1).alias("x"))
+    votes = t.join(F.broadcast(known), "given", "left_semi").groupBy("given").agg(F.sum("x").alias("x")).where("x <> 0")
+    return {r.given: "f" if r.x > 0 else "m" for r in votes.collect()}
+
 
-    In each round entities that share a candidate are ranked by a shuffle on the candidate; all but the first try again with
-    their rank as the attempt. What still collides after the last round gets its rank as an ending that no candidate has; only names
-    and addresses can, whose rendering keeps it.
+def replacements(entities: DataFrame, secret: str, parts: list[tuple[str, str, str]], sexes: dict[str, str] | None = None) -> DataFrame:
+    """kind, entity, replacement for distinct entities; no replacement is there twice or is an entity.
+
+    In each round every entity that has none yet draws a candidate. Of those with the same candidate the first entity has it, unless
+    it is one of the entities or was given in an earlier round. Both checks are shuffles on (kind, candidate); the first of equals
+    is an aggregate, so that no candidate that many draw comes into one task. The rounds end when no entity is left.
     """
-    pools, key = make_pools(parts), secret.encode()
+    pools, key = make_pools(parts, sexes), secret.encode()
+    schema = "kind string, entity string, replacement string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, e, a = (c.to_pylist() for c in b.columns[:3])
-            new = [candidate(*x, key, pools) for x in zip(k, e, a)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new, pa.string())], names=["kind", "entity", "attempt", "replacement"])
+    def draw(attempt: int):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                new = [candidate(k, e, attempt, key, pools) for k, e in zip(*(c.to_pylist() for c in b.columns))]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "entity", "replacement"])
 
-    d = entities.select("kind", "entity").where("entity IS NOT NULL").distinct().withColumn("attempt", F.lit(0))
-    w = Window.partitionBy("kind", "replacement").orderBy("attempt", "entity")
-    for r in range(rounds + 1):
-        d = d.mapInArrow(run, "kind string, entity string, attempt int, replacement string").withColumn("rank", F.row_number().over(w) - 1)
-        if r < rounds:
-            d = d.select("kind", "entity", F.when(F.col("rank") > 0, F.col("attempt") * 1000 + F.col("rank")).otherwise(F.col("attempt")).alias("attempt"))
-    ending = F.concat(F.col("replacement"), F.lit("~"), F.col("rank").cast("string"))
-    return d.select("kind", "entity", F.when(F.col("rank") > 0, ending).otherwise(F.col("replacement")).alias("replacement"))
+        return run
 
+    known = written(entities.select("kind", "entity").where("entity IS NOT NULL").distinct(), "entities")
+    taken, left, done, attempt = known.select("kind", F.col("entity").alias("replacement")), known, None, 0
+    while True:
+        first = left.mapInArrow(draw(attempt), schema).groupBy("kind", "replacement").agg(F.min("entity").alias("entity"))
+        ok = written(first.join(taken, ["kind", "replacement"], "left_anti").select("kind", "entity", "replacement"), "surrogates")
+        done = ok if done is None else done.unionByName(ok)
+        left = written(left.join(ok, ["kind", "entity"], "left_anti"), "left")
+        if left.isEmpty():
+            return done
+        taken, attempt = taken.unionByName(ok.select("kind", "replacement")), attempt + 1
 
-def surrogates(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str]], secret: str) -> DataFrame:
-    """ident, text with every place replaced by the keyed surrogate of its entity. Places are found once and written to the shared folder."""
+
+def replaced(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str]], secret: str) -> DataFrame:
+    """ident, kind, start_pos, end_pos, entity, replacement: every place with the keyed surrogate of its entity.
+
+    Places are found once and written. Entities that very many places name (a signature) are joined apart from all others.
+    """
     found = written(places(df, ident, text, parts).where(F.size("places") > 0), "places")
     each = found.select(ident, F.explode("places").alias("p")).select(ident, "p.*")
-    new = replacements(each, secret, parts)
-    per = each.join(new, ["kind", "entity"]).groupBy(ident).agg(F.collect_list(F.struct("start_pos", "end_pos", "kind", "replacement")).alias("subs"))
+    per = written(each.groupBy("kind", F.col("entity").alias("key")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    heavy = heavy_keys(per, ["kind"]).withColumnRenamed("key", "entity").select("kind", "entity")
+    new = replacements(per.select("kind", F.col("key").alias("entity")), secret, parts, genders(each, parts))
+    on = ["kind", "entity"]
+    return split_join(each.drop("title"), new, on, heavy, on, "inner").select(ident, "kind", "start_pos", "end_pos", "entity", "replacement")
+
+
+def surrogates(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str]], secret: str) -> DataFrame:
+    """ident, text with every place replaced by the keyed surrogate of its entity."""
+    new = replaced(df, ident, text, parts, secret)
+    per = new.groupBy(ident).agg(F.collect_list(F.struct("start_pos", "end_pos", "kind", "replacement")).alias("subs"))
 
     @F.pandas_udf("string")
     def put(t, subs):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        def one(s: str | None, ps: object) -> str | None:
-            if s is None or ps is None:
-                return s
-            out, at = [], 0
-            for p in sorted(ps, key=lambda p: p["start_pos"]):
-                a, e = p["start_pos"], p["end_pos"]
-                out += [s[at:a], render(p["kind"], s[a:e], p["replacement"])]
-                at = e
-            return "".join([*out, s[at:]])
-
-        return pd.Series([one(a, b) for a, b in zip(t, subs)], dtype=object)
+        return pd.Series([replaced_text(a, b) for a, b in zip(t, subs)], dtype=object)
 
     return df.select(ident, F.col(text).alias("_t")).join(per, ident, "left").select(ident, put(F.col("_t"), F.col("subs")).alias("text"))
+
+
+def replaced_text(s: str | None, subs: Iterable[dict] | None) -> str | None:
+    """A text with its places (start_pos, end_pos, kind, replacement) replaced."""
+    if s is None or subs is None:
+        return s
+    out, at = [], 0
+    for p in sorted(subs, key=lambda p: p["start_pos"]):
+        a, e = p["start_pos"], p["end_pos"]
+        out += [s[at:a], render(p["kind"], s[a:e], p["replacement"])]
+        at = e
+    return "".join([*out, s[at:]])
+
+
+def surrogate_report(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str]], secret: str) -> DataFrame:
+    """Per kind, as rendered: entities; shared (writings of two entities that came out as one), real (replacements that are an entity of
+    the corpus) and split (entities of which two writings came out as two). ``ident`` must be unique."""
+    new = written(replaced(df, ident, text, parts, secret), "replaced")
+    per = new.groupBy(ident).agg(F.collect_list(F.struct("kind", "start_pos", "end_pos", "entity", "replacement")).alias("subs"))
+    schema = "kind string, entity string, initial boolean, written string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t, subs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for p in subs:
+                    seen = t[p["start_pos"] : p["end_pos"]]
+                    w = entity_key(p["kind"], render(p["kind"], seen, p["replacement"]))
+                    # an initial stands for what it is short for
+                    short = p["kind"] == "name" and [len(x) == 1 for x in _name_words(seen)] != [len(x) == 1 for x in p["entity"].split()]
+                    rows.append((p["kind"], p["entity"], short, w))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.string()))], names=["kind", "entity", "initial", "written"])
+
+    w = df.select(ident, F.col(text).alias("_t")).join(per, ident).select("_t", "subs").mapInArrow(run, schema).distinct()
+    w = written(w.where("NOT initial").select("kind", "entity", "written"), "writings")
+    shared = w.select("kind", "entity", "written").distinct().groupBy("kind", "written").agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.sum((F.col("n") > 1).cast("int")).alias("shared"))
+    split = w.groupBy("kind", "entity").agg(F.countDistinct("written").alias("n")).groupBy("kind").agg(F.count(F.lit(1)).alias("entities"), F.sum((F.col("n") > 1).cast("int")).alias("split"))
+    known = w.select("kind", F.col("entity").alias("written")).distinct()
+    real = w.join(known, ["kind", "written"], "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("real"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return split.join(shared, "kind", "left").join(real, "kind", "left").select("kind", zero("entities"), zero("shared"), zero("real"), zero("split"))

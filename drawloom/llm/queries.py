@@ -209,23 +209,31 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 SECRET = "not a secret"
 
 
+def _p8(spark: SparkSession, folder: str) -> tuple:
+    return table(spark, folder, "documents"), "doc_id", "text", pii.lexicon(table(spark, folder, "name_parts"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per place with personal information."""
-    parts = pii.lexicon(table(spark, folder, "name_parts"))
-    p = pii.places(table(spark, folder, "documents"), "doc_id", "text", parts)
-    return p.select("doc_id", F.explode("places").alias("p")).select("doc_id", F.col("p.kind").alias("pii_kind"), "p.start_pos", "p.end_pos")
+    """One row per place with personal information, each of which has its surrogate."""
+    return pii.replaced(*_p8(spark, folder), SECRET).select("doc_id", F.col("kind").alias("pii_kind"), "start_pos", "end_pos")
 
 
 def p8_masked(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with typed placeholders in the place of personal information."""
-    parts = pii.lexicon(table(spark, folder, "name_parts"))
-    return pii.places(table(spark, folder, "documents"), "doc_id", "text", parts, mask=True).select("doc_id", F.col("masked").alias("text"))
+    return pii.places(*_p8(spark, folder), mask=True).select("doc_id", F.col("masked").alias("text"))
 
 
 def p8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with keyed surrogates in the place of personal information."""
-    parts = pii.lexicon(table(spark, folder, "name_parts"))
-    return pii.surrogates(table(spark, folder, "documents"), "doc_id", "text", parts, SECRET)
+    return pii.surrogates(*_p8(spark, folder), SECRET)
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind the entities, and how many surrogates as rendered are shared by two, are real entities, or differ within one entity: none."""
+    return pii.surrogate_report(*_p8(spark, folder), SECRET).select("kind", "shared", "real", "split")
+
+
+P8_REPORT_SQL = f"SELECT kind, CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS real, CAST(0 AS BIGINT) AS split FROM (VALUES {', '.join(f'({k!r})' for k in pii.KINDS)}) k(kind)"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -244,8 +252,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_found": p8_found,
         "p8_masked": p8_masked,
         "p8_surrogates": p8_surrogates,
+        "p8_report": p8_report,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p2_digests": P2_DIGESTS_SQL, "p3_found": P3_SQL, "p3_skipping": P3_SKIPPING_SQL, "p6_check": P6_CHECK_SQL}
+    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p2_digests": P2_DIGESTS_SQL, "p3_found": P3_SQL, "p3_skipping": P3_SKIPPING_SQL, "p6_check": P6_CHECK_SQL, "p8_report": P8_REPORT_SQL}

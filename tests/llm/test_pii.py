@@ -94,3 +94,50 @@ def test_letters_keep_their_script():
         assert new != s and new.endswith(".test") and script(pii.entity_key("email", new)) == script(key)
         assert [c in "áàâäéèêëíìîïóòôöúùûüçñ" for c in pii.entity_key("email", new)] == [c in "éñä" for c in key]
     assert script(pii.candidate("address", "улица 12", 0, b"k", {})) == [*script("улица"), " ", *pii.candidate("address", "улица 12", 0, b"k", {})[-2:]]
+
+
+def test_initials_are_the_one_full_name_they_fit(spark):
+    keys = lambda t: [p["entity"] for p in pii.entities(t, NAMES)]
+    assert keys("Colin Hexstead wrote. C. Hexstead signed, then Hexstead, C. and T. Hexstead") == ["colin hexstead"] * 3 + ["t hexstead"]
+    assert keys("Colin Hexstead, Claire Hexstead and C. Hexstead")[-1] == "c hexstead"
+    assert pii.render("name", "C. Hexstead", "grace lorderby") == "G. Lorderby" and pii.render("name", "HEXSTEAD, C.", "grace lorderby") == "LORDERBY, G."
+    df = spark.createDataFrame([(1, "Colin Hexstead wrote and C. Hexstead signed")], "doc_id long, text string")
+    a, b = pii.surrogates(df, "doc_id", "text", PARTS, "k").first().text.replace(" signed", "").split(" wrote and ")
+    assert b == f"{a[0]}. {a.split()[-1]}"
+
+
+def test_replacements_are_no_entities_of_the_corpus(spark):
+    """All names that the pools can give are entities themselves, and all numbers of a form: larger spaces are drawn from."""
+    pools = [p for p in PARTS if p[0] in ("Colin", "Thea", "Hexstead", "Ketbrill", "Dunderby")]
+    rows = [("name", f"{g} {f}") for g in ("colin", "thea") for f in ("hexstead", "ketbrill", "dunderby")] + [("id_number", str(i)) for i in range(10)] + [("address", f"{c} st") for c in "abcdefghijklmnopqrstuvwxyz"]
+    new = {(r.kind, r.entity): r.replacement for r in pii.replacements(spark.createDataFrame(rows, "kind string, entity string"), "k", pools).collect()}
+    assert set(new) == set(rows)
+    assert len({(k, v) for (k, _), v in new.items()}) == len(rows) and not {(k, v) for (k, _), v in new.items()} & set(rows)
+    assert all(pii.entity_key(k, pii.render(k, e, v)) == v for (k, e), v in new.items() if k == "id_number")
+
+
+def test_titles_tell_the_gender_of_given_names(spark):
+    text = "Mrs. Colin Hexstead, Frau Colin Dunderby, Mr Grace Ketbrill and Colin Branstead"
+    assert [p["title"] for p in pii.entities(text, NAMES)] == ["f", "f", "m", None]
+    each = spark.createDataFrame([("name", p["entity"], p["title"]) for p in pii.entities(text, NAMES)], "kind string, entity string, title string")
+    sexes = pii.genders(each, PARTS)
+    assert sexes == {"colin": "f", "grace": "m"}
+    pools = pii.make_pools(PARTS, sexes)
+    assert pii.name_class(["colin", "x"], pools) == ("en", "f") and pii.name_class(["thea", "x"], pools) == ("en", "f") and pii.name_class(["jonas", "x"], pools) == ("en", "m")
+
+
+def test_names_keep_their_script():
+    pools = pii.make_pools(PARTS)
+    for w in ("иван петров", "νικος παπας"):
+        new = pii.candidate("name", w, 0, b"k", pools)
+        assert new != w and [c == " " for c in new] == [c == " " for c in w] and not any(c.isascii() for c in new.replace(" ", ""))
+    for attempt in range(8):
+        assert pii.candidate("name", "colin hexstead", attempt, b"k", pools) not in {pii.candidate("name", "colin hexstead", a, b"k", pools) for a in range(attempt)}
+
+
+def test_anchors_leave_out_nothing():
+    """Numbers anywhere in long texts, with their extensions, after and before other digits."""
+    for pad in ("", "x " * 50, "1 2 3 " * 20, "2025-03-01 12:00:05 "):
+        for seen, kind in (("512-555-0183 extension 123456", "phone"), ("QQ 62 05 90 C", "id_number"), ("+44 (0)20 7946 0131", "phone"), ("(+44) (0)20 7946 0131", "phone"), ("931-01-8142", "id_number")):
+            t = f"{pad}call {seen}, {pad}"
+            assert (kind, t.index(seen), t.index(seen) + len(seen)) in pii.find_places(t, NAMES), (pad, seen)
