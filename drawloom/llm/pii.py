@@ -46,7 +46,9 @@ _EMAIL = [
     re.compile(rf"{_LOCAL}(?: ?[@＠] ?| ?\(at\) ?| ?\[at\] ?)[^\W_](?:[\w-]*{_DOT}){{1,10}}[^\W\d_]{{2,}}(?![\w-])"),
     re.compile(rf"{_LOCAL} at (?:[\w-]+ dot ){{1,10}}[^\W\d_]{{2,}}(?![\w-])", re.I),
 ]
-_EMAIL_HINT = [re.compile(r"(?<=[\w% +-])(?:[@＠]|[(\[]at[)\]])(?=[\w ])"), re.compile(r" at (?=[\w-]+ dot )", re.I)]
+_EMAIL_HINT = [re.compile(r"[@＠](?=[\w ])|[(\[]at[)\]](?=[\w ])"), re.compile(r" at (?=[\w-]+ dot )", re.I)]
+#: Signs that no local part has.
+_NOT_LOCAL = "\n,:;<>=/\"'@＠"
 
 _S = r"[-.    ‐‑‒–]"
 _NOT_BEFORE = r"(?<![\w+])(?<!\w[-./])"
@@ -81,12 +83,21 @@ _PASSPORT_END = re.compile(r"\b(?:pass(?:port|eport)?|reisepass|pasaporte|passnu
 _PASSPORT = re.compile(r"[A-Z](?<!\w.)(?:[A-Z0-9]\d[A-Z0-9]?\d{5,6}|[A-Z]?\d{6,8}|\d[A-Z]\d{6})(?!\w)|\d(?<!\w\d)\d{8}(?!\w)")
 
 
+#: Six digits or more, never more than three other signs apart: every id number and phone (but for its extension) lies within one such stretch and a few signs around it.
+_DIGITS = re.compile(r"\d(?:\D{0,3}\d){5,}")
+_BEFORE, _BEHIND = 6, 40
+
+#: Any id number or phone; a stretch without one is not looked at further. The form with references to its own groups comes first.
+_ANY_NUMBER = re.compile("|".join([_ID[4].pattern, *(f"(?:{r.pattern})" for r in (*_ID[:4], *_ID[5:], _PASSPORT, _ID_LABELLED)), *(f"(?i:{r.pattern})" for r in (*_PHONE, _PHONE_LABELLED))]))
+
 _HOUSE = r"\d(?<![\w.,:/#-]\d)\d{0,3}[a-zA-Z]?"
 _STREET_FULL = r"(?:street|road|lane|drive|avenue|close|terrace|court|way|place|square|crescent|boulevard|gardens|grove|mews|parade)"
 _STREET_ABBR = r"(?:st|rd|ln|dr|ave|ct|pl|sq|cres|blvd)"
 _UNIT = r"(?:,? (?:apartment|apt|flat|unit|suite|ste|floor|fl|room|rm|no)\.? ?\d{1,4}[a-zA-Z]?(?!\w)|,? #\d{1,4}[a-zA-Z]?(?!\w)|,? \d{1,2}(?:st|nd|rd|th) floor)?"
 _NAMEWORD = r"[^\W\d_][\w'’-]*"
 _ADDRESS_EN = re.compile(rf"{_HOUSE},? ((?:{_NAMEWORD} ){{1,4}}?)(?:{_STREET_FULL}(?!\w)|{_STREET_ABBR}(?:\.|(?!\w)))({_UNIT})", re.I)
+#: Where an English or French address may begin.
+_HOUSE_AT = re.compile(rf"{_HOUSE}(?: ?(?:bis|ter|quater)(?!\w))?,? (?=[^\W\d_])", re.I)
 _NOT_STREET = frozenset(
     "hour hours day days minute minutes seed seeds lane lanes drive draws draw of the a an and or in on at to for with from by is was are were "
     "job jobs chunk chunks trial trials step steps worker workers slot slots free mb ms gb rows row survivors survivor table tables retries "
@@ -105,7 +116,7 @@ _ADDRESS_ES = re.compile(r"(?<!\w)(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|
 
 # ---- names -----------------------------------------------------------------------------------------------------------
 
-_WORD = re.compile(r"[^\W\d_](?:[\ẁ-ͯ]|['’](?=[^\W\d_]{2}))*(?:[-‐‑][^\W\d_][\ẁ-ͯ]*)*")
+_WORD = re.compile(r"[^\W\d_][\w\u0300-\u036f]*+(?:['’](?=[^\W\d_]{2})[\w\u0300-\u036f]*+)*+(?:[-‐‑][^\W\d_][\w\u0300-\u036f]*+)*+")
 _PARTICLES = frozenset("de del della di da van von der den dem zu zum la las los le du des ter ten y e".split())
 _TITLES = frozenset("dr mr mrs ms miss prof herr frau sr sra srta don doña dona mme mlle m monsieur madame dott ing".split())
 #: Words that stand before a name, capitalised at a sentence's start or in a heading, and aren't given names.
@@ -201,12 +212,13 @@ _NOT_FAMILY = frozenset(
 
 
 def _names(text: str, names: Names) -> Iterator[tuple[int, int]]:
-    toks = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
-    n, kind = len(toks), names.kind
+    kind, known = names.kind, names._seen
     # most texts hold no word of a name
-    kinds = [kind(t[2]) for t in toks]
+    kinds = [known[w] if w in known else kind(w) for w in _WORD.findall(text)]
     if not any(kinds):
         return
+    toks = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
+    n = len(toks)
 
     def gap(i: int) -> str:
         return text[toks[i][1] : toks[i + 1][0]]
@@ -311,6 +323,32 @@ def _phone_end(s: str) -> int:
     return len(s) if lo <= len(d) <= hi else 0
 
 
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Parts of a text around its stretches of digits, that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for m in _DIGITS.finditer(text):
+        a, b = max(0, m.start() - _BEFORE), min(len(text), m.end() + _BEHIND)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _within(r: re.Pattern, text: str, parts: list[tuple[int, int]]) -> Iterator[re.Match]:
+    for a, b in parts:
+        yield from r.finditer(text, a, b)
+
+
+def _at(r: re.Pattern, text: str, starts: list[int]) -> Iterator[re.Match]:
+    """Matches that begin at the given places and don't overlap."""
+    done = 0
+    for i in starts:
+        if i >= done and (m := r.match(text, i)):
+            done = m.end()
+            yield m
+
+
 def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all places, in the order of their start."""
     if not text:
@@ -331,7 +369,9 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
         for h in hint.finditer(text):
             # forms are shorter than what is looked at on both sides
             if h.start() >= done:
-                for m in r.finditer(text, max(done, h.start() - 400), h.end() + 600):
+                lo = max(done, h.start() - 400)
+                lo = max(lo, *(text.rfind(c, lo, h.start()) for c in _NOT_LOCAL))
+                for m in r.finditer(text, lo, h.end() + 600):
                     if m.end() > h.start():
                         if m.start() <= h.start():
                             add("email", m.start(), m.end())
@@ -339,29 +379,31 @@ def find_places(text: str | None, names: Names) -> list[tuple[str, int, int]]:
                         break
     digits = re.search(r"\d", text)
     if digits:
+        near = [x for x in _stretches(text) if _ANY_NUMBER.search(text, *x)]
         for r, label, back in ((_PASSPORT, _PASSPORT_END, 32), (_ID_LABELLED, _ID_LABEL_END, 48)):
-            for m in r.finditer(text):
+            for m in _within(r, text, near):
                 if label.search(text[max(0, m.start() - back) : m.start()]):
                     add("id_number", m.start(), m.end())
         for r in _ID:
-            for m in r.finditer(text):
+            for m in _within(r, text, near):
                 if not _NO_ID.search(text[max(0, m.start() - 14) : m.start()]):
                     add("id_number", m.start(), m.end())
-        for m in _PHONE[0].finditer(text):
+        for m in _within(_PHONE[0], text, near):
             add("phone", m.start(), m.start() + _phone_end(m.group()))
         for r in _PHONE[1:]:
-            for m in r.finditer(text):
+            for m in _within(r, text, near):
                 if not _NO_ID.search(text[max(0, m.start() - 14) : m.start()]):
                     add("phone", m.start(), m.end())
-        for m in _PHONE_LABELLED.finditer(text):
+        for m in _within(_PHONE_LABELLED, text, near):
             if _PHONE_LABEL_END.search(text[max(0, m.start() - 20) : m.start()]):
                 add("phone", m.start(), m.end())
-        for m in _ADDRESS_EN.finditer(text):
+        houses = [m.start() for m in _HOUSE_AT.finditer(text)]
+        for m in _at(_ADDRESS_EN, text, houses):
             words = m.group(1).split()
             if any(fold(w) in _NOT_STREET for w in words) or _AFTER_STREET.match(text, m.end()):
                 continue
             add("address", m.start(), m.end())
-        for m in _ADDRESS_FR.finditer(text):
+        for m in _at(_ADDRESS_FR, text, houses):
             cut = _FR_TAIL.match(m.group(1))
             add("address", m.start(), m.start(1) + cut.end() if cut else m.end())
         low = text.lower()
