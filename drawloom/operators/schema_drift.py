@@ -8,8 +8,10 @@ A field that goes and one that comes in the same file, with the same types, are
 content of the old one: shared tokens and shapes of texts, shared ranges of numbers, and if no file of any writer has both names
 side by side, as fields that differ do. Among several candidates in a file the best pair wins, then the best of those left.
 
-Types promote along null < boolean, number, string, array < string, so that a consistent table has one type per field; names
-that were renamed are resolved to the name that most files use.
+Types promote along null < boolean < string, null < long < decimal < string, null < long < double < string, null < array < string, so
+that a consistent table has one type per field, which holds all its values: whole numbers stay whole (decimal from 64 bits, text
+from 39 digits), and fractions become text only beside whole numbers that a double can't hold. Names that were renamed are
+resolved to the name that most files use.
 
 Defined results: rows whose raw text is not a JSON object (torn, blank, null) are left out, and a file without any other rows is
 not there. Objects are entered, arrays are not; a field that is null throughout is not in the file. Repeated rows change nothing.
@@ -64,6 +66,14 @@ def kind_of(v: object) -> str | None:
     return "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array"
 
 
+def number_kind(v: int | float) -> str:
+    """The place of a number in the lattice: int53 (a double holds it), int64, int38 (digits), big or float."""
+    if isinstance(v, float):
+        return "float"
+    a = abs(v)
+    return "int53" if a <= 1 << 53 else "int64" if -(1 << 63) <= v < 1 << 63 else "int38" if a < 10**38 else "big"
+
+
 def _strict(x: str) -> float:
     raise ValueError(x)
 
@@ -89,14 +99,15 @@ def content(v: object) -> tuple[set[str], float | None]:
     s = clean(v) if isinstance(v, str) else json.dumps(v, sort_keys=True)
     words = {t.lower() if not t.isdigit() else "9" for t in _TOKEN.findall(s)}
     shape = _RUN.sub(lambda m: "9" if m.group()[0].isdigit() else "a", s)
+    # a form is short; whatever is longer is free text, of which the words tell more than the signs
     return words | {f"~{shape}" if len(shape) <= 40 else "~long"}, None
 
 
 def file_fields(df: DataFrame, src_table: str) -> DataFrame:
-    """One row per (file, field): types (sorted), tokens, lo, hi, n; and per file one with a null path, which says that the file is there."""
+    """One row per (file, field): types (sorted), tokens, numbers (see ``number_kind``), lo, hi, n; and per file one with a null path, which says that the file is there."""
     src = df.select(F.col("writer_id").cast("string").alias("writer_id"), F.col("file_no").cast("bigint").alias("file_no"), F.col("raw").cast("string").alias("raw"))
-    schema = "writer_id string, file_no bigint, path string, types array<string>, tokens array<string>, lo double, hi double, n bigint"
-    out_type = pa.schema([("writer_id", pa.string()), ("file_no", pa.int64()), ("path", pa.string()), ("types", pa.list_(pa.string())), ("tokens", pa.list_(pa.string())), ("lo", pa.float64()), ("hi", pa.float64()), ("n", pa.int64())])
+    schema = "writer_id string, file_no bigint, path string, types array<string>, tokens array<string>, numbers array<string>, lo double, hi double, n bigint"
+    out_type = pa.schema([("writer_id", pa.string()), ("file_no", pa.int64()), ("path", pa.string()), ("types", pa.list_(pa.string())), ("tokens", pa.list_(pa.string())), ("numbers", pa.list_(pa.string())), ("lo", pa.float64()), ("hi", pa.float64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,19 +116,20 @@ def file_fields(df: DataFrame, src_table: str) -> DataFrame:
                 o = parse(raw)
                 if o is None:
                     continue
-                acc.setdefault((w, n, None), [set(), set(), None, None, 0])
+                acc.setdefault((w, n, None), [set(), set(), None, None, 0, set()])
                 for p, v in dict(leaves(o)).items():
                     k = kind_of(v)
                     if k is None:
                         continue
-                    a = acc.setdefault((w, n, clean(p)), [set(), set(), None, None, 0])
+                    a = acc.setdefault((w, n, clean(p)), [set(), set(), None, None, 0, set()])
                     tok, x = content(v)
                     a[0].add(k)
                     a[1] |= tok
                     if x is not None:
                         a[2], a[3] = (x, x) if a[2] is None else (min(a[2], x), max(a[3], x))
+                        a[5].add(number_kind(v))
                     a[4] += 1
-            rows = [{"writer_id": w, "file_no": n, "path": p, "types": list(a[0]), "tokens": list(a[1]), "lo": a[2], "hi": a[3], "n": a[4]} for (w, n, p), a in acc.items()]
+            rows = [{"writer_id": w, "file_no": n, "path": p, "types": list(a[0]), "tokens": list(a[1]), "numbers": list(a[5]), "lo": a[2], "hi": a[3], "n": a[4]} for (w, n, p), a in acc.items()]
             yield from pa.Table.from_pylist(rows, schema=out_type).to_batches()
 
     each = src.mapInArrow(run, schema)
@@ -126,11 +138,12 @@ def file_fields(df: DataFrame, src_table: str) -> DataFrame:
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"),
             F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("numbers"),
             F.min("lo").alias("lo"),
             F.max("hi").alias("hi"),
             F.sum("n").alias("n"),
         )
-        .select(F.lit(src_table).alias("src_table"), "writer_id", "file_no", "path", F.concat_ws("|", "types").alias("types"), "tokens", "lo", "hi", "n")
+        .select(F.lit(src_table).alias("src_table"), "writer_id", "file_no", "path", F.concat_ws("|", "types").alias("types"), "tokens", "numbers", "lo", "hi", "n")
     )
 
 
@@ -160,6 +173,13 @@ def _differences(fields: DataFrame, chain: DataFrame) -> DataFrame:
     return both.where("old IS NULL OR new IS NULL OR old.types <> new.types")
 
 
+def differences(fields: DataFrame) -> DataFrame:
+    """Every field that came, went or changed its types, before any two are taken for one renamed field: the columns of ``changes``."""
+    d = _differences(fields, neighbours(fields))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("retyped")
+    return d.select(*FILE, kind.alias("change_kind"), F.col("path").alias("field_path"), F.coalesce("old.types", F.lit("")).alias("old_value"), F.coalesce("new.types", F.lit("")).alias("new_value"))
+
+
 def _score(o: str, n: str) -> tuple:
     """(content, name) likeness of two fields ``o`` and ``n``, each from 0 to 1."""
     ot, nt = F.col(f"{o}.tokens"), F.col(f"{n}.tokens")
@@ -235,9 +255,18 @@ def changes(fields: DataFrame) -> DataFrame:
 # ---- one consistent table --------------------------------------------------------------------------------------------
 
 
-def promote(kinds: set[str]) -> str:
-    """The least type of the lattice that holds all: number, boolean, string or array; string above them."""
-    return next(iter(kinds)) if len(kinds) == 1 else "string"
+def promote(kinds: set[str], numbers: set[str] = frozenset()) -> str:
+    """The least type of the lattice that holds all: boolean, long, decimal, number (a double), array or string above them."""
+    if len(kinds) != 1:
+        return "string"
+    kind = next(iter(kinds))
+    if kind != "number" or not numbers:
+        return kind
+    if "big" in numbers:
+        return "string"
+    if "float" in numbers:
+        return "number" if numbers <= {"float", "int53"} else "string"
+    return "decimal" if "int38" in numbers else "long"
 
 
 def aliases(pairs: list[tuple[str, str, int]], counts: dict[str, int]) -> dict[str, str]:
@@ -267,7 +296,7 @@ def consistent(df: DataFrame, fields: DataFrame, change_log: DataFrame, meta: li
 
     Only the schema (distinct paths with their types, and distinct renames) goes to the driver, refused beyond MOST_PATHS.
     """
-    seen = fields.where("path IS NOT NULL").groupBy("path", "types").agg(F.count(F.lit(1)).alias("n")).limit(MOST_PATHS + 1).collect()
+    seen = fields.where("path IS NOT NULL").groupBy("path", "types").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set("numbers"))).alias("numbers")).limit(MOST_PATHS + 1).collect()
     if len(seen) > MOST_PATHS:
         raise ValueError(f"more than {MOST_PATHS} different fields")
     ren = change_log.where("change_kind = 'renamed'").groupBy("field_path", "new_value").agg(F.count(F.lit(1)).alias("n")).limit(MOST_PATHS + 1).collect()
@@ -278,8 +307,10 @@ def consistent(df: DataFrame, fields: DataFrame, change_log: DataFrame, meta: li
         counts[r.path] = counts.get(r.path, 0) + r.n
     to = aliases(sorted((r.field_path, r.new_value, r.n) for r in ren), counts)
     kinds: dict[str, set[str]] = {}
+    numbers: dict[str, set[str]] = {}
     for r in seen:
         kinds.setdefault(to.get(r.path, r.path), set()).update(r.types.split("|"))
+        numbers.setdefault(to.get(r.path, r.path), set()).update(r.numbers)
     names: dict[str, list[str]] = {}
     for p in counts:
         names.setdefault(to.get(p, p), []).append(p)
@@ -296,10 +327,10 @@ def consistent(df: DataFrame, fields: DataFrame, change_log: DataFrame, meta: li
             yield from head.append_column("leaf", pa.array(rows, pa.map_(pa.string(), pa.string()))).to_batches()
 
     x = df.select(*meta, F.col("raw").cast("string").alias("raw")).mapInArrow(run, schema)
-    cast = {"number": "double", "boolean": "boolean", "array": "array<string>", "string": "string"}
+    cast = {"number": "double", "long": "bigint", "decimal": "decimal(38,0)", "boolean": "boolean", "array": "array<string>", "string": "string"}
     cols, used = [], {m.lower() for m in meta}
     for c in sorted(names):
-        k = promote(kinds[c])
+        k = promote(kinds[c], numbers[c])
         v = F.coalesce(*(F.element_at("leaf", p) for p in sorted(names[c], key=lambda p: (-counts[p], p))))
         v = F.from_json(v, "array<string>") if k == "array" else v.try_cast(cast[k])
         name = c.replace(".", "__")

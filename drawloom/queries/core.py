@@ -86,6 +86,22 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.changes(_fields(spark, folder, _DRIFTING))
 
 
+def p5_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields that came, went or changed their types between a writer's neighbouring files, before renames are told."""
+    return schema_drift.differences(_fields(spark, folder, _DRIFTING))
+
+
+P5_DIFFERENCES_SQL = """WITH raw AS (SELECT 'watcher_training_incidents' AS src_table, writer_id, file_no, raw FROM watcher_training_incidents UNION ALL SELECT 'feature_registry', writer_id, file_no, raw FROM feature_registry),
+ok AS (SELECT DISTINCT src_table, writer_id, file_no, raw FROM raw WHERE CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE FALSE END),
+chain AS (SELECT *, lag(file_no) OVER (PARTITION BY src_table, writer_id ORDER BY file_no) AS prev FROM (SELECT DISTINCT src_table, writer_id, file_no FROM ok)),
+leaf AS (SELECT DISTINCT src_table, writer_id, file_no, replace(substr(j.fullkey, 3), '"', '') AS path, CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS t FROM ok, json_tree(ok.raw) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.fullkey, '[')),
+f AS (SELECT src_table, writer_id, file_no, path, string_agg(t, '|' ORDER BY t) AS types FROM leaf GROUP BY ALL),
+d AS (SELECT c.src_table, c.writer_id, c.file_no, f.path, f.types AS now, NULL AS was FROM chain c JOIN f USING (src_table, writer_id, file_no) WHERE c.prev IS NOT NULL
+ UNION ALL SELECT c.src_table, c.writer_id, c.file_no, f.path, NULL, f.types FROM chain c JOIN f ON f.src_table = c.src_table AND f.writer_id = c.writer_id AND f.file_no = c.prev),
+m AS (SELECT src_table, writer_id, file_no, path, max(now) AS now, max(was) AS was FROM d GROUP BY ALL)
+SELECT src_table, writer_id, file_no, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'retyped' END AS change_kind, path AS field_path, coalesce(was, '') AS old_value, coalesce(now, '') AS new_value FROM m WHERE was IS DISTINCT FROM now"""
+
+
 def _p5_records(spark: SparkSession, folder: str, name: str) -> DataFrame:
     f = _fields(spark, folder, [name])
     rows = table(spark, folder, name).dropDuplicates(["writer_id", "file_no", "line_no", "raw"])
@@ -103,8 +119,8 @@ def p5_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_counts": p4_counts, "p4_split": p4_split, "p5_found": p5_found, "p5_incidents": p5_incidents, "p5_registry": p5_registry}
+    return {"p4_found": p4_found, "p4_counts": p4_counts, "p4_split": p4_split, "p5_found": p5_found, "p5_differences": p5_differences, "p5_incidents": p5_incidents, "p5_registry": p5_registry}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _p4_sql(), "p4_split": _P4_SPLIT_SQL.replace("@FOUND@", _p4_sql()), "p4_counts": f"SELECT ref_field, month_key, why, count(*) AS n_refs FROM ({_p4_sql()}) GROUP BY ALL"}
+    return {"p4_found": _p4_sql(), "p5_differences": P5_DIFFERENCES_SQL, "p4_split": _P4_SPLIT_SQL.replace("@FOUND@", _p4_sql()), "p4_counts": f"SELECT ref_field, month_key, why, count(*) AS n_refs FROM ({_p4_sql()}) GROUP BY ALL"}

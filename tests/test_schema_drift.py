@@ -64,10 +64,10 @@ def test_consistent_table_and_promotion(spark):
     df = _df(spark, files)
     f = S.file_fields(df, "t").cache()
     out = S.consistent(df, f, S.changes(f), ["writer_id", "file_no", "line_no"])
-    assert dict(out.dtypes) == {"writer_id": "string", "file_no": "bigint", "line_no": "int", "A__c": "boolean", "B": "string", "a": "string", "k": "array<string>", "line_no_": "double"}
+    assert dict(out.dtypes) == {"writer_id": "string", "file_no": "bigint", "line_no": "int", "A__c": "boolean", "B": "string", "a": "string", "k": "array<string>", "line_no_": "bigint"}
     rows = {r.file_no: r for r in out.collect()}
     assert [rows[i]["B"] for i in (1, 2, 3)] == ["x y z"] * 3 and [rows[i]["a"] for i in (1, 2, 3)] == ["1", "two", "3"]
-    assert rows[3]["A__c"] is True and rows[3]["line_no_"] == 7.0 and rows[1]["k"] == ["1"]
+    assert rows[3]["A__c"] is True and rows[3]["line_no_"] == 7 and rows[1]["k"] == ["1"]
     assert S.promote({"number"}) == "number" and S.promote({"number", "boolean"}) == "string"
 
 
@@ -98,3 +98,14 @@ def test_more_renames_than_the_bound_are_refused(spark, monkeypatch):
     assert schema_drift.consistent(df, fields, pairs(3), ["writer_id", "file_no"]).count() == 1
     with pytest.raises(ValueError, match="renames"):
         schema_drift.consistent(df, fields, pairs(4), ["writer_id", "file_no"])
+
+
+def test_numbers_keep_all_digits(spark):
+    recs = [{"whole": 2**53 + 1, "wide": 2**63, "frac": 1.5, "both": 2**53 + 1, "huge": 10**40}, {"whole": -(2**63), "wide": 1, "frac": 2, "both": 0.5, "huge": 1}]
+    df = _df(spark, {("w", 1): recs})
+    f = S.file_fields(df, "t").cache()
+    out = S.consistent(df, f, S.changes(f), ["writer_id"])
+    assert dict(out.dtypes) == {"writer_id": "string", "both": "string", "frac": "double", "huge": "string", "whole": "bigint", "wide": "decimal(38,0)"}
+    got = sorted(out.collect(), key=lambda r: r.frac)
+    assert [(r.whole, int(r.wide), r.frac, r.both, r.huge) for r in got] == [(2**53 + 1, 2**63, 1.5, str(2**53 + 1), str(10**40)), (-(2**63), 1, 2.0, "0.5", "1")]
+    assert [S.promote({"number"}, n) for n in ({"int53"}, {"int64", "int53"}, {"int38"}, {"float", "int53"}, {"float", "int64"}, {"big"})] == ["long", "long", "decimal", "number", "string", "string"]
