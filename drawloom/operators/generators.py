@@ -88,6 +88,14 @@ class Xorshift64Star(Stepper):
         return self.x & M32
 
 
+class Xorshift64Wide(Xorshift64Star):
+    """The whole state as the output: what sieves compare."""
+
+    def step(self):
+        super().step()
+        return self.x
+
+
 class Congruential(Stepper):
     """A 31 to 48 bit linear congruential generator, in limbs where products pass 64 bits."""
 
@@ -113,6 +121,14 @@ class Lcg32(Congruential):
         self.x = s & M32
 
 
+class Lcg32Masked(Lcg32):
+    """The modulus taken as a mask, as the hybrid sieve has it."""
+
+    def step(self):
+        self.x = (self.x * U64(self.a) + U64(self.c)) & U64(self.m)
+        return self.x
+
+
 class Minstd(Congruential):
     a, c, m, shift, mask = 48271, 0, 2147483647, 0, False
 
@@ -135,6 +151,17 @@ class Pcg32(Stepper):
         return ((v >> r) | (v << ((U64(32) - r) & U64(31)))) & M32
 
 
+class Pcg32Ahead(Pcg32):
+    """Outputs of the state after the step, as the hybrid sieve has it."""
+
+    def step(self):
+        self.x = self.x * self.a + self.c
+        o = self.x
+        v = (((o >> U64(18)) ^ o) >> U64(27)) & M32
+        r = (o >> U64(59)) & U64(31)
+        return ((v >> r) | (v << ((U64(32) - r) & U64(31)))) & M32
+
+
 class Xoshiro256pp(Stepper):
     def start(self, s):
         full = lambda v: np.full(len(s), v, U64)
@@ -189,17 +216,19 @@ class Mt19937(Stepper):
         st[:, 0] = s & M32
         for i in range(1, 624):
             st[:, i] = (U64(1812433253) * (st[:, i - 1] ^ (st[:, i - 1] >> U64(30))) + U64(i)) & M32
-        self.st, self.at = st, 624
+        # each seed has its own place, as sieves with varying skips bring seeds apart
+        self.st, self.at = st, np.full(len(s), 624)
 
     def step(self):
-        if self.at == 624:
-            st = self.st
+        used = self.at == 624
+        if used.any():
+            st = self.st if used.all() else self.st[used]
             for i in range(624):
                 y = (st[:, i] & U64(0x80000000)) | (st[:, (i + 1) % 624] & U64(0x7FFFFFFF))
                 st[:, i] = st[:, (i + 397) % 624] ^ (y >> U64(1)) ^ ((y & U64(1)) * U64(0x9908B0DF))
-            self.at = 0
-        y = self.st[:, self.at].copy()
-        self.at += 1
+            self.st[used], self.at[used] = st, 0
+        y = self.st[np.arange(len(self.at)), self.at]
+        self.at = self.at + 1
         y ^= y >> U64(11)
         y ^= (y << U64(7)) & U64(0x9D2C5680)
         y ^= (y << U64(15)) & U64(0xEFC60000)
@@ -214,9 +243,20 @@ class Family:
     #: (a, c, m, shift): state after p steps is affine in the seed
     affine: tuple[int, int, int, int] | None = None
     batch: int = 50_000
+    #: what sieves compare, and what the hybrid sieve does, where these differ from the generator's own outputs
+    sieved: type[Stepper] | None = None
+    hybrid: type[Stepper] | None = None
+    #: the state after a value that no skip matches, see ``sieve.hybrid``
+    on_miss: str = "drift"
     #: for subclasses and notes
     extra: dict = field(default_factory=dict)
 
+    def for_sieve(self) -> type[Stepper]:
+        return self.sieved or self.stepper
+
+    def for_hybrid(self) -> type[Stepper]:
+        return self.hybrid or self.for_sieve()
+
 
 FAMILIES: dict[str, Family] = {}
 
@@ -231,13 +271,13 @@ for _f in (
     Family("java_lcg", JavaLcg, 48, (25214903917, 11, 1 << 48, 16)),
     Family("minstd", Minstd, 32, (48271, 0, 2147483647, 0)),
     Family("xorshift128", Xorshift128),
-    Family("xorshift64", Xorshift64Star, 64),
-    Family("pcg32", Pcg32, 64),
-    Family("lcg32", Lcg32, 32, (1103515245, 12345, 0x7FFFFFFF, 0)),
-    Family("xoshiro256pp", Xoshiro256pp, 64),
-    Family("philox4x32", Philox4x32, 64),
-    Family("sfc64", Sfc64, 64),
-    Family("mt19937", Mt19937, 32, None, 4_000),
+    Family("xorshift64", Xorshift64Star, 64, sieved=Xorshift64Wide),
+    Family("pcg32", Pcg32, 64, hybrid=Pcg32Ahead, on_miss="stay"),
+    Family("lcg32", Lcg32, 32, (1103515245, 12345, 0x7FFFFFFF, 0), hybrid=Lcg32Masked),
+    Family("xoshiro256pp", Xoshiro256pp, 64, on_miss="step"),
+    Family("philox4x32", Philox4x32, 64, on_miss="step"),
+    Family("sfc64", Sfc64, 64, on_miss="step"),
+    Family("mt19937", Mt19937, 32, None, 4_000, on_miss="over"),
 ):
     register(_f)
 
@@ -277,6 +317,42 @@ def with_sequence(df: DataFrame, family: str, seed: str, n: int, skip: int = 0,
     return df.withColumn(name, gen(F.col(seed)))
 
 
+def synthetic(spark: SparkSession, seed: int, n: int, skip: int = 0, family: str = "java_lcg", mod: int = 1000, first: int = 0, parts: int | None = None) -> DataFrame:
+    """idx, draw of n values of a known seed from the position ``first``, skip + 1 steps each. Each task jumps to its first position, so that any length is made in parallel. Affine families only."""
+    f, step = FAMILIES[family], skip + 1
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            idx = pdf["idx"].to_numpy()
+            x = jump(f.affine, (int(idx[0]) + 1) * step) if len(idx) else (1, 0)
+            a, c = jump(f.affine, step)
+            m, shift = f.affine[2:]
+            v, out = (x[0] * reduced(f, seed) + x[1]) % m, []
+            for _ in idx:
+                out.append(((v >> shift) & 0xFFFFFFFF) % mod)
+                v = (a * v + c) % m
+            yield pd.DataFrame({"idx": idx, "draw": np.array(out, np.int64)})
+
+    r = spark.range(first, first + n, 1, parts) if parts else spark.range(first, first + n)
+    return r.withColumnRenamed("id", "idx").mapInPandas(run, "idx bigint, draw bigint")
+
+
+def jump(affine: tuple[int, int, int, int], p: int) -> tuple[int, int]:
+    """(A, C) with state_p = A * state + C mod m, by squaring."""
+    a, c, m, _ = affine
+    x, y = 1, 0
+    while p:
+        if p & 1:
+            x, y = a * x % m, (a * y + c) % m
+        a, c, p = a * a % m, (a * c + c) % m, p >> 1
+    return x, y
+
+
+def reduced(f: Family, seed: int) -> int:
+    """The state of an affine family before its first step."""
+    return int(f.stepper(np.array([seed], np.int64)).x[0]) % f.affine[2]
+
+
 # ---- affine jump-ahead -----------------------------------------------------------------------------------------------
 
 

@@ -59,7 +59,7 @@ def _stepped(seeds: DataFrame, values: list[int], family: str, lo: int, hi: int,
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in G.batches(it, spec.batch):
             seed = pdf["seed"].to_numpy()
-            g, hits, at = spec.stepper(seed), np.zeros((hi - lo + 1, len(seed)), np.int16), 0
+            g, hits, at = spec.for_sieve()(seed), np.zeros((hi - lo + 1, len(seed)), np.int16), 0
             first = g.x % G.U64(spec.affine[2]) if jump else None
             for p in order:
                 if jump:
@@ -87,14 +87,14 @@ STRATEGIES = [
 ]
 
 
-def hybrid(seeds: DataFrame, values: list[int], family: str, threshold: float, strategies: list[tuple[str, int, int]] | None = None, on_miss: str = "drift", reverse: bool = False) -> DataFrame:
+def hybrid(seeds: DataFrame, values: list[int], family: str, threshold: float, strategies: list[tuple[str, int, int]] | None = None, on_miss: str | None = None, reverse: bool = False) -> DataFrame:
     """Variable skips: at each value the skips around the expected one are tried in ascending order, and the first match is taken.
 
-    ``on_miss``: what a seed's state is after a value that no skip matches. ``drift``: as many steps on as the greatest skip tried
-    (the expected skip follows the last match); ``stay``: as before; ``step``: one step on, the expected skip stays 5 and the run
+    ``on_miss``: what a seed's state is after a value that no skip matches, by default as the family has it. ``drift``: as many steps on
+    as the greatest skip tried (the expected skip follows the last match); ``over``: one more; ``stay``: as before; ``step``: one step on, the expected skip stays 5 and the run
     ends only after more misses than allowed. The best strategy wins, the first of equals.
     """
-    strategies = strategies or STRATEGIES
+    strategies, on_miss = strategies or STRATEGIES, on_miss or G.FAMILIES[family].on_miss
     values = [v % 1000 for v in (values[::-1] if reverse else values)]
     k, need = len(values), least_matches(threshold, len(values))
     schema = "seed bigint, matches int, total int, match_rate double, strategy_id int, strategy_name string, skip_pattern array<int>"
@@ -105,7 +105,7 @@ def hybrid(seeds: DataFrame, values: list[int], family: str, threshold: float, s
             n = len(seed)
             best, which, pattern = np.zeros(n, int), np.zeros(n, int), np.full((n, k), -1)
             for sid, (_, most, tol) in enumerate(strategies):
-                m, pat = _one_strategy(G.FAMILIES[family].stepper(seed), n, values, most, tol, on_miss)
+                m, pat = _one_strategy(G.FAMILIES[family].for_hybrid()(seed), n, values, most, tol, on_miss)
                 up = m > best
                 best[up], which[up], pattern[up] = m[up], sid, pat[up]
             ok = np.flatnonzero(best >= need)
@@ -131,13 +131,16 @@ def _one_strategy(g: G.Stepper, n: int, values: list[int], most: int, tol: int,
         found, skip = np.zeros(n, bool), expect.copy()
         after, after_hi, one = start, start, None
         for s in range(int(hi[live].max()) + 1):
-            before = g.keep() if on_miss == "drift" else None
+            last = hi == s if on_miss in ("drift", "over") else None
+            before = g.keep() if on_miss == "drift" and last.any() else None
             out = g.step() % G.U64(1000)
+            if on_miss == "over" and last.any():
+                before = g.keep()
             if s == 0 and on_miss == "step":
                 one = g.keep()
-            # the state after hi[seed] steps, before the output at skip hi
+            # the state after hi[seed] steps, before (or for "over" after) the output at skip hi
             if before is not None:
-                after_hi = _blend(after_hi, before, hi == s)
+                after_hi = _blend(after_hi, before, last)
             hit = live & ~found & (s >= lo) & (s <= hi) & (out == v)
             if hit.any():
                 after = _blend(after, g.keep(), hit)
@@ -145,12 +148,12 @@ def _one_strategy(g: G.Stepper, n: int, values: list[int], most: int, tol: int,
         miss = live & ~found
         g.back(start)
         state = _blend(start, after, found)
-        if on_miss == "drift":
+        if on_miss in ("drift", "over"):
             state = _blend(state, after_hi, miss)
         elif on_miss == "step" and one is not None:
             state = _blend(state, one, miss)
         g.back(state)
-        pat[live, i] = skip[live]
+        pat[live, i] = np.where(miss & (on_miss == "step"), 0, skip)[live]
         matches += found
         if on_miss != "step":
             expect = np.where(found, skip, expect)
@@ -163,6 +166,17 @@ def _blend(a: tuple, b: tuple, where: np.ndarray) -> tuple:
     return tuple(np.where(where if x.ndim == 1 else where[:, None], y, x) if isinstance(x, np.ndarray) else y for x, y in zip(a, b))
 
 
+def planted(family: str, seed: int, skips: list[int], hybrid: bool = False) -> list[int]:
+    """Values that a seed gives with the given skips before each, as a sieve compares them."""
+    spec, out = G.FAMILIES[family], []
+    g = (spec.for_hybrid() if hybrid else spec.for_sieve())(np.array([seed], np.int64))
+    for s in skips:
+        for _ in range(s):
+            g.step()
+        out.append(int(g.step()[0] % G.U64(1000)))
+    return out
+
+
 def two_phase(seeds: DataFrame, values: list[int], family: str, skips: tuple[int, int], first: float = 0.2, second: float = 0.75, by_range: bool = False) -> DataFrame:
     """The cheap sieve's survivors, then the hybrid one on just these (or, with ``by_range``, on all seeds between the least and greatest)."""
     s1 = fixed_skip(seeds, values, family, skips, first).select("seed")
@@ -260,7 +274,7 @@ def hybrid_reverse(seeds: DataFrame, values: list[int], family: str, threshold:
             n = len(seed)
             won, got = np.full(n, -1), np.zeros(n, int)
             for sid, (_, most, tol) in enumerate(strategies):
-                g = G.FAMILIES[family].stepper(seed)
+                g = G.FAMILIES[family].for_sieve()(seed)
                 for _ in range(offset):
                     g.step()
                 matches, missed, live = np.zeros(n, int), np.zeros(n, int), won < 0

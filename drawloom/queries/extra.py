@@ -168,7 +168,7 @@ def window_search(spark, folder):
 @query()
 def hybrid_reverse_sieve(spark, folder):
     """Variable skips over the reversed window."""
-    return S.hybrid_reverse(S.seed_space(spark, 0, 3_000), window_values(spark, folder), "java_lcg", 0.25)
+    return S.hybrid_reverse(S.seed_space(spark, 0, 30_000), window_values(spark, folder), "java_lcg", 0.25)
 
 
 @query()
@@ -191,28 +191,6 @@ def next_draw_pool(spark, folder):
     return R.weighted_pool(S.predict_next(s, "java_lcg", len(v) + 1, "match_rate"), "number", F.col("weight"), [20, 100, 300])
 
 
-@query("SELECT CASE WHEN n >= 60 THEN 'high' WHEN n >= 50 THEN 'middle' ELSE 'low' END AS tier, count(*) AS users, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) GROUP BY 1")
-def sweep_ranking(spark, folder):
-    """Groups by their number of survivors."""
-    c = table(spark, folder, "events").groupBy("user_id").agg(_n().alias("n"))
-    return c.groupBy(F.when(F.col("n") >= 60, "high").when(F.col("n") >= 50, "middle").otherwise("low").alias("tier")).agg(_n().alias("users"), F.sum("n").alias("events"))
-
-
-@query("WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(CAST(event_type = 'purchase' AS INT)) AS rate FROM events GROUP BY 1), k AS (SELECT day, rate, lag(rate) OVER (ORDER BY day) AS p, avg(rate) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS smooth FROM d) SELECT day, round(rate, 6) AS hit_rate, round(rate - p, 6) AS decay, round(smooth, 6) AS week_rate FROM k")
-def pipeline_health(spark, folder):
-    """Hit rate per day, its change and its weekly mean; one row per day comes into the window."""
-    d = table(spark, folder, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.avg((F.col("event_type") == "purchase").cast("int")).alias("rate"))
-    w = Window.orderBy("day")
-    return d.select("day", F.round("rate", 6).alias("hit_rate"), F.round(F.col("rate") - F.lag("rate").over(w), 6).alias("decay"), F.round(F.avg("rate").over(w.rowsBetween(-6, 0)), 6).alias("week_rate"))
-
-
-@query("SELECT l_returnflag AS grp, round(0.5 * avg(l_discount) - 0.3 * abs(avg(l_discount) - avg(l_tax)) - 0.2 * stddev_pop(l_discount), 6) AS composite FROM lineitem GROUP BY 1")
-def composite_score(spark, folder):
-    """A score penalised for the gap between two parts and for spread."""
-    a, b = F.avg("l_discount"), F.avg("l_tax")
-    return table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("grp")).agg(F.round(0.5 * a - 0.3 * F.abs(a - b) - 0.2 * F.stddev_pop("l_discount"), 6).alias("composite"))
-
-
 @query(f"""WITH {DRAWS_SQL}, t AS (SELECT draw AS a, lead(draw, 1) OVER (ORDER BY idx) AS b, lead(draw, 2) OVER (ORDER BY idx) AS c, lead(draw, 3) OVER (ORDER BY idx) AS d FROM draws),
 p AS (SELECT list_transform(list_sort([(a, 0), (b, 1), (c, 2), (d, 3)]), lambda x: x[2]) AS p FROM t WHERE d IS NOT NULL), n AS (SELECT p, count(*) AS n FROM p GROUP BY p) SELECT count(*) AS patterns, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, round(24 * CAST(sum(n * n) AS DOUBLE) / sum(n) - sum(n), 4) AS chi2 FROM n""")
 def ordinal_patterns_4(spark, folder):

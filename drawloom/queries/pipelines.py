@@ -139,11 +139,11 @@ def seed_features(spark, folder):
     return X.seed_features(s, v, "java_lcg")
 
 
-@query(f"WITH {DRAWS_SQL}, st(i, a, c) AS (VALUES " + ", ".join(f"({p - 1}, {a}, {c})" for p, (a, c) in G.jumps(G.FAMILIES["java_lcg"].affine, list(range(1, 61))).items()) + """), p AS (SELECT s.range AS seed, d.draw AS a, ((CAST(((CAST(s.range AS HUGEINT) * st.a + st.c) % 281474976710656) AS BIGINT) >> 16) & 4294967295) % 1000 AS p FROM range(2000) s, st JOIN draws d ON d.idx = st.i)
+@query(f"WITH {DRAWS_SQL}, st(i, a, c) AS (VALUES " + ", ".join(f"({p - 1}, {a}, {c})" for p, (a, c) in G.jumps(G.FAMILIES["java_lcg"].affine, list(range(1, 61))).items()) + """), p AS (SELECT s.range AS seed, d.draw AS a, ((CAST(((CAST(s.range AS HUGEINT) * st.a + st.c) % 281474976710656) AS BIGINT) >> 16) & 4294967295) % 1000 AS p FROM range(30000) s, st JOIN draws d ON d.idx = st.i)
 SELECT seed, round(100 * avg(CAST(p = a AS INT)), 6) AS score, round(avg(CAST(p % 8 = a % 8 AS INT)), 6) AS lane_agreement_8, round(avg(p), 6) AS pred_mean, round(stddev_samp(p), 6) AS pred_std, round(avg(p - a), 6) AS residual_mean, CAST(max(abs(p - a)) AS DOUBLE) AS residual_max_abs, round(avg(CAST(p // 100 = a // 100 AS INT)), 6) AS hundreds_agreement FROM p GROUP BY seed""")
 def seed_feature_columns(spark, folder):
     """Feature columns that SQL can say as well."""
-    f = X.seed_features(S.seed_space(spark, 0, 2_000), window_values(spark, folder, 60), "java_lcg")
+    f = X.seed_features(S.seed_space(spark, 0, 30_000), window_values(spark, folder, 60), "java_lcg")
     cols = ["score", "lane_agreement_8", "pred_mean", "pred_std", "residual_mean", "residual_max_abs", "hundreds_agreement"]
     return f.select("seed", *(F.round(c, 6).alias(c) for c in cols))
 

@@ -52,6 +52,48 @@ def query(sql: str | None = None):  # noqa: ANN201
     return wrap
 
 
+#: Families whose reverse pass burns nothing between values.
+_NO_BURN = ("xoshiro256pp", "sfc64")
+_M32, _M64 = "4294967295::UBIGINT", "18446744073709551615::UHUGEINT"
+_rot = lambda x, k: f"((({x} << {k}) & {_M64}) | ({x} >> {64 - k}))"
+_GOLD, _SQ2, _SQ3 = "11400714819323198485::UHUGEINT", "7640891576956012808::UHUGEINT", "13503953896175478587::UHUGEINT"
+
+
+def _philox_sql() -> list[str]:
+    """Ten rounds as nested selects."""
+    out = [f"SELECT seed, p + 1 AS p, n + 1 AS n, n AS a, 0::UHUGEINT AS b, 0::UHUGEINT AS c, 0::UHUGEINT AS d, seed & {_M32} AS k, seed >> 32 AS l FROM @"]
+    for _ in range(10):
+        p, q = "(a * 3528531795::UHUGEINT)", "(c * 3449720151::UHUGEINT)"
+        out.append(f"SELECT seed, p, n, xor(xor({q} >> 32, b), k) AS a, {q} & {_M32} AS b, xor(xor({p} >> 32, d), l) AS c, {p} & {_M32} AS d, (k + 2654435769) & {_M32} AS k, (l + 3144134277) & {_M32} AS l FROM @")
+    return [*out, "SELECT seed, p, n, a AS x FROM @"]
+
+
+#: Generators as recursive queries: state columns with their start, then selects, one inside the other, of which the last gives seed, p, the state and the output x.
+_STEPS = {
+    "xorshift32": ({"y": f"range & {_M32}"}, [f"SELECT seed, p, xor(y, (y << 13) & {_M32}) AS y FROM @", "SELECT seed, p, xor(y, y >> 17) AS y FROM @", f"SELECT seed, p + 1 AS p, xor(y, (y << 5) & {_M32}) AS y, xor(y, (y << 5) & {_M32}) AS x FROM @"]),
+    "xorshift128": ({"a": f"range & {_M32}", "b": "362436069", "c": "521288629", "d": "88675123"}, [f"SELECT seed, p + 1 AS p, xor(a, (a << 11) & {_M32}) AS t, b, c, d FROM @", "SELECT seed, p, b AS a, c AS b, d AS c, xor(xor(d, d >> 19), xor(t, t >> 8)) AS d FROM @", "SELECT *, d AS x FROM @"]),
+    "xorshift64": ({"y": "range"}, ["SELECT seed, p, xor(y, y >> 12) AS y FROM @", f"SELECT seed, p, xor(y, (y << 25) & {_M64}) AS y FROM @", "SELECT seed, p, xor(y, y >> 27) AS y FROM @", f"SELECT seed, p + 1 AS p, (y * 2685821657736338717::UHUGEINT) & {_M64} AS y FROM @", "SELECT *, y AS x FROM @"]),
+    "pcg32": ({"y": "range"}, [f"SELECT seed, p + 1 AS p, (y * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) & {_M64} AS y, (xor(y >> 18, y) >> 27) & {_M32} AS v, (y >> 59) & 31::UHUGEINT AS r FROM @", f"SELECT seed, p, y, ((v >> r) | (v << ((32::UHUGEINT - r) & 31::UHUGEINT))) & {_M32} AS x FROM @"]),
+    "xoshiro256pp": ({"a": "range", "b": _GOLD, "c": _SQ2, "d": _SQ3}, [f"SELECT *, (a + d) & {_M64} AS s, xor(c, a) AS e, xor(d, b) AS f FROM @", f"SELECT seed, p + 1 AS p, xor(a, f) AS a, xor(b, e) AS b, xor(e, (b << 17) & {_M64}) AS c, {_rot('f', 45)} AS d, ({_rot('s', 23)} + a) & {_M64} AS x FROM @"]),
+    "sfc64": ({"a": "range", "b": _GOLD, "c": _SQ2, "n": "1"}, [f"SELECT seed, p, a, b, c, n, (a + b + n) & {_M64} AS x FROM @", f"SELECT seed, p + 1 AS p, xor(b, b >> 11) AS a, (c + ((c << 3) & {_M64})) & {_M64} AS b, ({_rot('c', 24)} + x) & {_M64} AS c, n + 1 AS n, x FROM @"]),
+    "philox4x32": ({"n": "0"}, _philox_sql()),
+}
+
+
+def _stepped_sql(family: str, reverse: bool) -> str:
+    burn = not (reverse and family in _NO_BURN)
+    at = [(s, i, p) for s in range(SKIPS[0], SKIPS[1] + 1) for i, p in enumerate(S.positions(K, s, burn_between=burn))]
+    state, steps = _STEPS[family]
+    q = f"(SELECT * FROM s WHERE p < {max(p for *_, p in at)})"
+    for step in steps:
+        q = "(" + step.replace("@", q) + ")"
+    cols = ", ".join(state)
+    i = f"{K - 1} - t.i" if reverse else "t.i"
+    return f"""WITH RECURSIVE {DRAWS_SQL}, s AS (SELECT range::UHUGEINT AS seed, 0 AS p, {', '.join(f'({v})::UHUGEINT AS {c}' for c, v in state.items())}, 0::UHUGEINT AS x FROM range({N}) UNION ALL SELECT seed, p, {cols}, x FROM {q}),
+t(skip, i, p) AS (VALUES {', '.join(map(str, at))}), m AS (SELECT s.seed, t.skip, sum(CAST(s.x % 1000 = d.draw AS INT)) AS n FROM t JOIN s ON s.p = t.p JOIN draws d ON d.idx = {i} GROUP BY ALL)
+SELECT CAST(seed AS BIGINT) AS seed, CAST(max(n) AS INTEGER) AS matches, {K} AS total, max(n) / {K} AS match_rate, CAST(-max(n * 4096 - skip) + max(n) * 4096 AS INTEGER) AS best_skip FROM m GROUP BY seed HAVING max(n) >= {S.least_matches(T, K)}"""
+
+
 def _register_sieves() -> None:
     for family in ("java_lcg", "minstd", "lcg32"):
         for rev in (False, True):
@@ -60,23 +102,16 @@ def _register_sieves() -> None:
             SQL[name] = f"WITH {DRAWS_SQL}, {_sieve_cte(family, rev, 'sv')} SELECT * FROM sv"
     for family in G.FAMILIES:
         if not G.FAMILIES[family].affine:
-            QUERIES[f"sieve_{family}"] = lambda spark, folder, f=family: _pass(spark, folder, f, n=2_000 if f == "mt19937" else N)
+            QUERIES[f"sieve_{family}"] = lambda spark, folder, f=family: _pass(spark, folder, f)
             QUERIES[f"sieve_{family}_reverse"] = lambda spark, folder, f=family: S.fixed_skip(
-                S.seed_space(spark, 0, 2_000 if f == "mt19937" else N), window_values(spark, folder), f, SKIPS, T, reverse=True, burn_between=f not in ("xoshiro256pp", "sfc64")
+                S.seed_space(spark, 0, N), window_values(spark, folder), f, SKIPS, T, reverse=True, burn_between=f not in _NO_BURN
             )
+            if family in _STEPS:
+                SQL[f"sieve_{family}"], SQL[f"sieve_{family}_reverse"] = _stepped_sql(family, False), _stepped_sql(family, True)
 
 
 _register_sieves()
 _BOTH = f"WITH {DRAWS_SQL}, {_sieve_cte('java_lcg', False, 'f')}, {_sieve_cte('java_lcg', True, 'r')}"
-_X32 = "(WITH RECURSIVE s(seed, p, x) AS (SELECT range, 0, range & 4294967295 FROM range(3000) UNION ALL SELECT seed, p + 1, xor(xor(xor(x, (x << 13) & 4294967295), xor(x, (x << 13) & 4294967295) >> 17), (xor(xor(x, (x << 13) & 4294967295), xor(x, (x << 13) & 4294967295) >> 17) << 5) & 4294967295) FROM s WHERE p < 98) SELECT * FROM s)"
-
-
-@query(f"""WITH {DRAWS_SQL}, s AS {_X32}, sk AS (SELECT skip, i, skip + i * (skip + 1) + 1 AS p FROM range(0, 11) a(skip), range(0, {K}) b(i)),
-m AS (SELECT s.seed, sk.skip, sum(CAST(s.x % 1000 = d.draw AS INT)) AS n FROM sk JOIN s ON s.p = sk.p JOIN draws d ON d.idx = sk.i GROUP BY ALL)
-SELECT seed, CAST(max(n) AS INTEGER) AS matches, {K} AS total, max(n) / {K} AS match_rate, CAST(-max(n * 4096 - skip) + max(n) * 4096 AS INTEGER) AS best_skip FROM m GROUP BY seed HAVING max(n) >= 1""")
-def sieve_xorshift32_small(spark, folder):
-    """The stepped path against a recursive query."""
-    return _pass(spark, folder, "xorshift32", n=3_000)
 
 
 @query(f"{_BOTH} SELECT seed, f.match_rate AS forward_match_rate, f.best_skip AS forward_skip, r.match_rate AS reverse_match_rate, r.best_skip AS reverse_skip, (f.match_rate + r.match_rate) / 2 AS score FROM f JOIN r USING (seed)")
@@ -139,10 +174,43 @@ def phase_two_range(spark, folder):
     return x.agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("lo"), F.max("seed").alias("hi"))
 
 
-@query()
+PLANTED, HYBRID_N = 1235, 4_000
+#: Skips before each planted value: constant, and varying around five.
+SAME, VARYING = [3] * K, [5, 6, 5, 4, 5, 5, 6, 5]
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS family, {r} AS reverse, CAST({PLANTED} AS BIGINT) AS seed, {K} AS matches, 3 AS best_skip" for f in G.FAMILIES for r in ("FALSE", "TRUE")))
+def planted_sieves(spark, folder):
+    """A planted seed is all that every family's forward and reverse sieve finds at a threshold of 1."""
+    out = None
+    for f in G.FAMILIES:
+        for rev in (False, True):
+            burn = not (rev and f in _NO_BURN)
+            v = S.planted(f, PLANTED, SAME if burn else [3] + [0] * (K - 1))
+            d = S.fixed_skip(S.seed_space(spark, 0, N), v[::-1] if rev else v, f, SKIPS, 1.0, reverse=rev, burn_between=burn).select(F.lit(f).alias("family"), F.lit(rev).alias("reverse"), "seed", "matches", "best_skip")
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS family, {r} AS reverse, CAST({PLANTED} AS BIGINT) AS seed, {K} AS matches, 0 AS strategy_id" for f in G.FAMILIES for r in ("FALSE", "TRUE")))
+def planted_hybrids(spark, folder):
+    """A seed planted with varying skips is all that every family's hybrid and hybrid reverse sieve finds at a threshold of 1."""
+    out = None
+    for f in G.FAMILIES:
+        seeds = S.seed_space(spark, 0, HYBRID_N)
+        fwd = S.hybrid(seeds, S.planted(f, PLANTED, VARYING, hybrid=True), f, 1.0)
+        rev = S.hybrid_reverse(seeds, S.planted(f, PLANTED, [x - 4 for x in VARYING])[::-1], f, 1.0)
+        for d, r in ((fwd, False), (rev, True)):
+            d = d.select(F.lit(f).alias("family"), F.lit(r).alias("reverse"), "seed", "matches", "strategy_id")
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query(f"SELECT CAST({PLANTED} AS BIGINT) AS seed, {K} AS matches, [{', '.join(map(str, VARYING))}] AS skip_pattern")
 def hybrid_two_phase(spark, folder):
-    """Fixed skips first, variable skips on the survivors."""
-    return S.two_phase(S.seed_space(spark, 0, 4_000), window_values(spark, folder), "java_lcg", SKIPS, 0.2, 0.5)
+    """Fixed skips first, variable skips on the survivors: a planted seed that the first phase lets through for the second one."""
+    v = S.planted("java_lcg", PLANTED, VARYING, hybrid=True)
+    return S.two_phase(S.seed_space(spark, 0, N), v, "java_lcg", SKIPS, 0.2, 0.75).select("seed", "matches", "skip_pattern")
 
 
 def _digit_sql(n: int, lo: int, hi: int) -> str:
@@ -156,10 +224,10 @@ r AS (SELECT seed, skip, sum(CAST(n = 3 AS INT)) AS f, sum(CAST(n >= 2 AS INT))
 SELECT seed, CAST(f AS INTEGER) AS full_matches, CAST(p AS INTEGER) AS partial_matches, CAST(skip AS INTEGER) AS best_skip FROM k WHERE rn = 1"""
 
 
-@query(_digit_sql(5_000, 0, 5))
+@query(_digit_sql(N, 0, 5))
 def digit_sequential_sieve(spark, folder):
     """Three outputs a value, digit by digit."""
-    return S.digit_sequential(S.seed_space(spark, 0, 5_000), window_values(spark, folder), "java_lcg", (0, 5))
+    return S.digit_sequential(S.seed_space(spark, 0, N), window_values(spark, folder), "java_lcg", (0, 5))
 
 
 @query()
@@ -220,12 +288,6 @@ def enrichment(spark, folder):
     return a.select(F.round(e, 6).alias("enrichment"), F.round(F.col("cov"), 6).alias("coverage"), F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), o)), 6).alias("objective"))
 
 
-@query("WITH r AS (SELECT l_orderkey AS seed, l_quantity / 50 AS rate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) SELECT seed, rate FROM r WHERE n = 1")
-def dedup_keep_best(spark, folder):
-    """One row per seed, the one of the highest rate."""
-    return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("seed")).agg(F.max(F.col("l_quantity") / 50).alias("rate"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
