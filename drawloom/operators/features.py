@@ -124,31 +124,46 @@ def dominant_period(series: DataFrame, value: str, order: str, lags: tuple[int,
     return inside.crossJoin(F.broadcast(t)).orderBy(F.desc("power"), "freq").limit(1).select(F.round(lag).cast("int").alias("period"), (F.col("power") / F.col("_t")).alias("share")).withColumn("confident", F.col("share") > 0.15)
 
 
-def regime_windows(series: DataFrame, value: str, size: int, stride: int, order: str = "idx") -> DataFrame:
-    """Per sliding window: entropies modulo 8, 125 and 1000 and the shares of the 64 transitions modulo 8."""
+def regime_windows(series: DataFrame, value: str, size: int, stride: int, order: str = "idx", digits: bool = False) -> DataFrame:
+    """Per sliding window: entropies modulo 8, 125 and 1000 and the shares of the 64 transitions modulo 8, or with ``digits`` the row
+    shares of the 300 transitions of hundreds, tens and ones."""
     d = W.lagged(series.select(order, value), value, [1], order)
     x = W.sliding(d, size, stride, order=order)
     res = x.select("win", F.explode(F.array(*(F.struct(F.lit(m).alias("m"), (F.col(value) % m).alias("r")) for m in MODS))).alias("e")).groupBy("win", "e.m", "e.r").agg(F.count(F.lit(1)).alias("n"))
     h = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
     ent = res.groupBy("win", "m").agg(h.alias("h")).groupBy("win").pivot("m", list(MODS)).agg(F.first("h"))
     ent = ent.toDF("win", *(f"entropy_{m}" for m in MODS))
+    if digits:
+        last, now = F.col(f"{value}_lag1"), F.col(value)
+        cell = [(j * 100 + F.floor(last / q) % 10 * 10 + F.floor(now / q) % 10).cast("int") for j, q in enumerate((100, 10, 1))]
+        c = x.where(f"{value}_lag1 IS NOT NULL").select("win", F.explode(F.array(*cell)).alias("c")).groupBy("win", "c").agg(F.count(F.lit(1)).alias("n"))
+        rows = c.groupBy("win", F.floor(F.col("c") / 10).alias("r")).agg(F.collect_list(F.struct("c", "n")).alias("a"), F.sum("n").alias("t"))
+        rows = rows.select("win", F.explode("a").alias("e"), "t").groupBy("win").agg(F.map_from_entries(F.collect_list(F.struct(F.col("e.c").alias("c"), (F.col("e.n") / F.col("t")).alias("p")))).alias("mp"))
+        return ent.join(rows, "win").select("win", *(f"entropy_{m}" for m in MODS), F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.coalesce(F.element_at("mp", i), F.lit(0.0))).alias("transitions"))
     t = x.where(f"{value}_lag1 IS NOT NULL").groupBy("win", ((F.col(f"{value}_lag1") % 8) * 8 + F.col(value) % 8).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     tr = t.groupBy("win").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("int"), (F.col("n") / size).alias("p")))).alias("mp"))
     return ent.join(tr, "win").select("win", *(f"entropy_{m}" for m in MODS), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("mp", i), F.lit(0.0))).alias("transitions"))
 
 
-def regimes(windows: DataFrame, k: int = 5, seed: int = 1) -> DataFrame:
-    """Windows in k clusters of standardised features; clusters are numbered by their mean entropy, so that the numbers mean the same everywhere."""
+def regimes(windows: DataFrame, k: int = 5, seed: int = 1, quality: bool = False) -> DataFrame:
+    """Windows in k clusters of standardised features; clusters are numbered by their mean entropy, so that the numbers mean the same
+    everywhere. With ``quality`` also the silhouette of the clustering, the same in each row."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import array_to_vector
 
     d = windows.withColumn("_t", array_to_vector("transitions"))
     d = VectorAssembler(inputCols=[*(f"entropy_{m}" for m in MODS), "_t"], outputCol="_raw").transform(d)
     d = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(d).transform(d)
-    c = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="_c").fit(d).transform(d).select("win", "entropy_1000", "_c")
+    c = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="_c").fit(d).transform(d).select("win", "entropy_1000", "_c", "_x")
     order = c.groupBy("_c").agg(F.avg("entropy_1000").alias("e")).withColumn("regime", F.row_number().over(Window.orderBy("e", "_c")) - 1)  # k rows
-    return c.join(F.broadcast(order), "_c").select("win", "regime")
+    out = c.join(F.broadcast(order), "_c").select("win", "regime")
+    if quality:
+        several = c.select("_c").distinct().count() > 1
+        s = ClusteringEvaluator(featuresCol="_x", predictionCol="_c").evaluate(c) if several else 0.0
+        out = out.withColumn("silhouette", F.lit(float(s)))
+    return out
 
 
 def train_and_score(df: DataFrame, features: list[str], label: str, model: str = "gbt", folds: int = 3, seed: int = 42) -> DataFrame:
@@ -188,6 +203,61 @@ def permutation_importance(df: DataFrame, features: list[str], label: str, seed:
     return df.sparkSession.createDataFrame(out, "feature string, importance double")
 
 
+def choose(scores: DataFrame, model: str, score: str, lower_is_better: bool = False) -> DataFrame:
+    """The row of the best score, of equals the first by name."""
+    return scores.orderBy(F.asc(score) if lower_is_better else F.desc_nulls_last(score), model).limit(1)
+
+
+def single_fits(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """model, r2 of a linear model of each feature alone: one aggregate, as R2 is a squared correlation there."""
+    y = F.col(label).cast("double")
+    row = df.agg(*(F.corr(F.col(f).cast("double"), y).alias(f) for f in features))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("model"), F.coalesce(F.col(f) * F.col(f), F.lit(0.0)).alias("r2")) for f in features)))
+    return row.select(each.alias("e")).select("e.*")
+
+
+def _linear_r2(train: DataFrame, test: DataFrame, features: list[str], label: str) -> float:
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    va = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="skip")
+    m = LinearRegression(featuresCol="_f", labelCol=label).fit(va.transform(train))
+    return RegressionEvaluator(labelCol=label, metricName="r2").evaluate(m.transform(va.transform(test)))
+
+
+def shuffled_label_test(df: DataFrame, features: list[str], label: str, ident: list[str], most: float = 0.1, drop: float = 0.5) -> DataFrame:
+    """One row: R2 on held-out rows with true and with shuffled training labels, and whether the second collapses (passed).
+
+    Labels are shuffled by moving them along an order by hash, counted in blocks, so no task holds the column. A fifth of the rows,
+    by another hash, is held out.
+    """
+    d = df.select(*ident, label, *features).na.drop().withColumn("_u", F.pmod(F.xxhash64(F.lit("split"), *ident), F.lit(5)))
+    train, test = d.where("_u > 0"), d.where("_u = 0")
+    rows = W.row_index(train.withColumn("_h", F.pmod(F.xxhash64(*ident), F.lit(1 << 40))), "_i", "_h", 1 << 34)
+    n = rows.count()
+    moved = rows.select(F.pmod(F.col("_i") + max(1, n // 3), F.lit(max(1, n))).alias("_i"), F.col(label).alias("_m"))
+    shuffled = rows.drop(label).join(moved, "_i").withColumnRenamed("_m", label)
+    a, b = _linear_r2(train, test, features, label), _linear_r2(shuffled, test, features, label)
+    return df.sparkSession.createDataFrame([(a, b, b < most and a - b > drop)], "real_r2 double, shuffled_r2 double, passed boolean")
+
+
+def ablation(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """feature, loss: how much R2 a linear model loses when it is fitted without the feature."""
+    d = df.select(label, *features).na.drop()
+    base = _linear_r2(d, d, features, label)
+    out = [(f, base - _linear_r2(d, d, [x for x in features if x != f], label)) for f in features]
+    return df.sparkSession.createDataFrame(out, "feature string, loss double")
+
+
+def attribution(df: DataFrame, weights: dict[str, float], ident: list[str], digits: int | None = None) -> DataFrame:
+    """ident... and, per feature of a linear model, its share of the row's attribution, |weight x value|; shares add up to 1 unless all are 0."""
+    part = {f: F.abs(F.col(f).cast("double") * w) for f, w in weights.items()}
+    total = F.greatest(sum(part.values()), F.lit(1e-12))
+    out = lambda c: F.round(c, digits) if digits is not None else c
+    return df.select(*ident, *(out(c / total).alias(f) for f, c in part.items()))
+
+
 def reconstruct_lcg(values: list[int], m: int) -> tuple[int, int] | None:
     """a and c of x' = a x + c mod m from outputs in a row, if the differences allow; None otherwise."""
     for i in range(len(values) - 2):

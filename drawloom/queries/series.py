@@ -144,12 +144,14 @@ def trailing_run(spark, folder):
  FROM range(1, 21) l(lag) JOIN draws a ON TRUE JOIN draws b ON b.idx = a.idx + l.lag GROUP BY l.lag"""))
 def digit_autocorrelation(spark, folder):
     """Digits that agree with those 1 to 20 draws before: lags by one windowed pass, not twenty joins."""
-    x = W.lagged(draws(spark, folder).select("idx", "draw"), "draw", list(range(1, 21)))
+    lags = range(1, 21)
+    x = W.lagged(draws(spark, folder).select("idx", "draw"), "draw", list(lags))
     dig = lambda c: [F.floor(c / 100), F.floor(c / 10) % 10, c % 10]
-    now = dig(F.col("draw"))
-    s = lambda n: sum((a == b).cast("int") for a, b in zip(now, dig(F.col(f"draw_lag{n}"))))
-    each = F.explode(F.array(*(F.struct(F.lit(n).cast("bigint").alias("lag"), s(n).alias("a")) for n in range(1, 21))))
-    return x.select(each.alias("e")).where("e.a IS NOT NULL").groupBy("e.lag").agg(F.count(F.lit(1)).alias("n"), F.sum("e.a").alias("agreements"))
+    same = lambda n: sum((a == b).cast("int") for a, b in zip(dig(F.col("draw")), dig(F.col(f"draw_lag{n}"))))
+    # twenty sums in one row, not twenty rows for each draw
+    row = x.agg(*(F.count(f"draw_lag{n}").alias(f"n{n}") for n in lags), *(F.sum(same(n)).alias(f"a{n}") for n in lags))
+    each = F.explode(F.array(*(F.struct(F.lit(n).cast("bigint").alias("lag"), F.col(f"n{n}").alias("n"), F.col(f"a{n}").alias("agreements")) for n in lags)))
+    return row.select(each.alias("e")).select("e.*").where("n > 0")
 
 
 @query(_with(""", t AS (SELECT lag(draw % 10) OVER (ORDER BY idx) AS prev, draw % 10 AS next FROM draws), c AS (SELECT prev, next, count(*) AS n FROM t WHERE prev IS NOT NULL GROUP BY ALL)

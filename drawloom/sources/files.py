@@ -61,3 +61,25 @@ def metadata(df: DataFrame, keys: list[str]) -> DataFrame:
     n = df.agg(F.count(F.lit(1)).alias("rows"), *(F.array_sort(F.collect_set(k)).alias(f"codes_{k}") for k in keys))
     return n.withColumn("columns", F.lit(",".join(df.columns)))
 
+
+def chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of a folder of JSON lines with ``kind``: good, or error for lines that are torn or aren't JSON."""
+    d = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return d.withColumn("kind", F.when(F.col("_corrupt_record").isNull(), "good").otherwise("error")).withColumns({c: F.when(F.col("_corrupt_record").isNull(), F.col(c)) for c in d.columns[:-1]}).drop("_corrupt_record")
+
+
+def write_survivors(forward: DataFrame, reverse: DataFrame, path: str, key: str = "seed") -> dict[str, str]:
+    """Forward, reverse and common survivors as JSON lines, each seed once, sorted over all files; gives the paths."""
+    f, r = forward.dropDuplicates([key]), reverse.dropDuplicates([key])
+    out = {}
+    for which, d in (("forward", f), ("reverse", r), ("bidirectional", f.join(r.select(key), key, "left_semi"))):
+        out[which] = f"{path}/{which}"
+        d.orderBy(key).write.json(out[which])
+    return out
+
+
+def export(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> dict[str, str]:
+    """Every table as JSON lines in a folder of its name; gives the folders."""
+    for name, d in tables.items():
+        d.write.option("ignoreNullFields", False).json(f"{path}/{name}")
+    return {name: f"{path}/{name}" for name in tables}

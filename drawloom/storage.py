@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _own: list[str] = []
+#: Paths given out and not deleted yet.
+_used: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. What is written there stays until ``sweep``, at the latest until the program ends."""
+    if not _used:
+        atexit.register(sweep)
+    _used.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _used[-1]
+
+
+def sweep() -> None:
+    """Delete all written tables. Only when no DataFrame made so far will be used again: a plan doesn't tell who still reads its files."""
+    spark = SparkSession.getActiveSession()
+    for path in _used:
+        try:
+            if path.startswith(("/", "file:")):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            elif spark is not None:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001, S110  a file that can't be deleted any more must not hide the program's own end
+            pass
+    _used.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -130,3 +130,27 @@ def change_fingerprint(df: DataFrame, ident: str) -> DataFrame:
     h = F.conv(F.substring(F.md5(F.col(ident).cast("string").cast("binary")), 1, 12), 16, 10).cast("bigint")
     return df.agg(F.coalesce(F.substring(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string")), 256), 1, 8), F.lit("0" * 8)).alias("f"), F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") == 0, "0" * 8).otherwise(F.col("f")).alias("fingerprint"), "n")
 
+
+def append_log(df: DataFrame, name: str) -> DataFrame:
+    """A stream's records appended to a log of JSON lines, exactly once per checkpoint; gives the log."""
+    out, cp = scratch_path(df.sparkSession, name), scratch_path(df.sparkSession, f"{name}-cp")
+    df.writeStream.format("json").option("checkpointLocation", cp).trigger(availableNow=True).start(out).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).json(out)
+
+
+def synthetic(spark: SparkSession, seed: int, per_batch: int, batches: int, skip: int = 0) -> DataFrame:
+    """The values of a known seed as a stream of ``batches`` batches: positions are the stream's rows, its offsets the state, and each batch jumps to its first position."""
+    from drawloom.operators import generators as G
+
+    folder, out, cp = (scratch_path(spark, n) for n in ("positions", "synthetic", "synthetic-cp"))
+    for i in range(batches):
+        spark.range(i * per_batch, (i + 1) * per_batch, 1, 1).write.mode("append").parquet(folder)
+    src = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def put(batch: DataFrame, no: int) -> None:
+        b = batch.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+        if b.a is not None:
+            G.synthetic(batch.sparkSession, seed, b.b - b.a + 1, skip, first=b.a).write.mode("overwrite").parquet(f"{out}/batch_no={no}")
+
+    src.writeStream.foreachBatch(put).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("idx bigint, draw bigint, batch_no bigint").parquet(out).drop("batch_no")
