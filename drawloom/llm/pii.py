@@ -703,34 +703,41 @@ def genders(each: DataFrame, parts: list[tuple[str, str, str]]) -> dict[str, str
     return {r.given: "f" if r.x > 0 else "m" for r in votes.collect()}
 
 
+#: Candidates that a name draws in a round, as two names often draw the same.
+DRAWS = 4
+
+
 def replacements(entities: DataFrame, secret: str, parts: list[tuple[str, str, str]], sexes: dict[str, str] | None = None) -> DataFrame:
     """kind, entity, replacement for distinct entities; no replacement is there twice or is an entity.
 
-    In each round every entity that has none yet draws a candidate. Of those with the same candidate the first entity has it, unless
-    it is one of the entities or was given in an earlier round. Both checks are shuffles on (kind, candidate); the first of equals
-    is an aggregate, so that no candidate that many draw comes into one task. The rounds end when no entity is left.
+    In each round every entity that has none yet draws a candidate, names ``DRAWS`` of them. A candidate that is one of the entities, or was given in
+    an earlier round, is nobody's; of those that draw one, the entity with the earliest attempt, then the first by name, has it, and
+    an entity that has several keeps its earliest. All checks are shuffles on (kind, candidate) or aggregates that combine on the
+    map side, so that no candidate that many draw comes into one task. The rounds end when every entity has one.
     """
     pools, key = make_pools(parts, sexes), secret.encode()
-    schema = "kind string, entity string, replacement string"
+    schema = "kind string, entity string, attempt int, replacement string"
 
-    def draw(attempt: int):  # noqa: ANN202
+    def draw(no: int):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                new = [candidate(k, e, attempt, key, pools) for k, e in zip(*(c.to_pylist() for c in b.columns))]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "entity", "replacement"])
+                rows = [(k, e, a, candidate(k, e, a, key, pools)) for k, e in zip(*(c.to_pylist() for c in b.columns)) for a in (range(no * DRAWS, (no + 1) * DRAWS) if k == "name" else (no,))]
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string()))], names=["kind", "entity", "attempt", "replacement"])
 
         return run
 
     known = written(entities.select("kind", "entity").where("entity IS NOT NULL").distinct(), "entities")
-    taken, left, done, attempt = known.select("kind", F.col("entity").alias("replacement")), known, None, 0
+    taken, left, done, no, rest = known.select("kind", F.col("entity").alias("replacement")), known, None, 0, known.count()
     while True:
-        first = left.mapInArrow(draw(attempt), schema).groupBy("kind", "replacement").agg(F.min("entity").alias("entity"))
-        ok = written(first.join(taken, ["kind", "replacement"], "left_anti").select("kind", "entity", "replacement"), "surrogates")
-        done = ok if done is None else done.unionByName(ok)
-        left = written(left.join(ok, ["kind", "entity"], "left_anti"), "left")
-        if left.isEmpty():
+        won = spread(left).mapInArrow(draw(no), schema).groupBy("kind", "replacement").agg(F.min(F.struct("attempt", "entity")).alias("w"))
+        won = won.join(taken, ["kind", "replacement"], "left_anti").groupBy("kind", F.col("w.entity").alias("entity")).agg(F.min(F.struct("w.attempt", "replacement")).alias("r"))
+        ok = written(won.select("kind", "entity", F.col("r.replacement").alias("replacement")), "surrogates")
+        done, rest = ok if done is None else done.unionByName(ok), rest - ok.count()
+        if rest <= 0:
             return done
-        taken, attempt = taken.unionByName(ok.select("kind", "replacement")), attempt + 1
+        left = written(left.join(ok, ["kind", "entity"], "left_anti"), "left")
+        taken, no = taken.unionByName(ok.select("kind", "replacement")), no + 1
 
 
 def replaced(df: DataFrame, ident: str, text: str, parts: list[tuple[str, str, str]], secret: str) -> DataFrame:
