@@ -62,3 +62,15 @@ def normal_cdf_sql(z: str) -> str:
 def kl(p: Column, q: Column) -> Column:
     """One term of the divergence of p from q."""
     return F.when(p > 0, p * F.ln(p / q)).otherwise(0.0)
+
+
+def divergences(counts: DataFrame, a: str, b: str, m: int, eps: float = 1e-10) -> DataFrame:
+    """One row: the divergence of counts ``a`` from counts ``b``, one row per value of the whole domain of m values, in four forms: shares
+    clamped and renormalised, clamped only, counts with one added, shares with a small number added."""
+    x = counts.crossJoin(F.broadcast(counts.agg(F.sum(a).alias("_sa"), F.sum(b).alias("_sb"))))
+    p, q = F.col(a) / F.col("_sa"), F.col(b) / F.col("_sb")
+    x = x.select(F.greatest(p, F.lit(eps)).alias("p"), F.greatest(q, F.lit(eps)).alias("q"), ((F.col(a) + 1) / (F.col("_sa") + m)).alias("p1"), ((F.col(b) + 1) / (F.col("_sb") + m)).alias("q1"), (p + eps).alias("pe"), (q + eps).alias("qe"))
+    term = lambda u, v: F.col(u) * F.ln(F.col(u) / F.col(v))
+    g = x.agg(F.sum(term("p", "q")).alias("clamped"), F.sum(term("p1", "q1")).alias("add_one"), F.sum(term("pe", "qe")).alias("epsilon"), F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    # with shares p / P and q / Q: sum of p / P ln(p Q / (q P))
+    return g.select((F.col("clamped") / F.col("_p") + F.ln(F.col("_q") / F.col("_p"))).alias("renormalised"), "clamped", "add_one", "epsilon")

@@ -255,7 +255,8 @@ def cusum(spark, folder):
     return c.agg(_r(F.max(F.abs("c")), 3).alias("max_excursion"), _r(F.avg(F.abs("c")), 3).alias("mean_excursion")).crossJoin(F.broadcast(z))
 
 
-_LAGS = [*range(1, 11), 12, 14, 16, 20, 26, 30]
+#: 1 to 10, the even ones to 30, and those of weeks, months, quarters and half years.
+_LAGS = sorted({*range(1, 11), *range(12, 31, 2), 7, 14, 21, 28, 30, 60, 90, 180})
 
 
 @query(_with(f""", m AS (SELECT avg(draw) AS m, var_pop(draw) AS v, count(*) AS n FROM draws), x AS (SELECT idx, draw - m AS x FROM draws, m)
@@ -266,8 +267,9 @@ def autocorrelation(spark, folder):
     d = draws(spark, folder).select("idx", "draw")
     m = d.agg(F.avg("draw").alias("m"), F.var_pop("draw").alias("v"), F.count(F.lit(1)).alias("n"))
     x = W.lagged(d, "draw", _LAGS).crossJoin(F.broadcast(m))
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("lag"), ((F.col("draw") - F.col("m")) * (F.col(f"draw_lag{n}") - F.col("m"))).alias("p")) for n in _LAGS)))
-    g = x.select(each.alias("e"), "v", "n").groupBy("e.lag").agg(F.sum("e.p").alias("s"), F.first("v").alias("v"), F.first("n").alias("n"))
+    c = lambda n: (F.col("draw") - F.col("m")) * (F.col(f"draw_lag{n}") - F.col("m"))
+    row = x.agg(F.first("v").alias("v"), F.first("n").alias("n"), *(F.sum(c(n)).alias(f"s{n}") for n in _LAGS))
+    g = row.select("v", "n", F.explode(F.array(*(F.struct(F.lit(n).alias("lag"), F.col(f"s{n}").alias("s")) for n in _LAGS))).alias("e")).select("v", "n", "e.*").where("s IS NOT NULL")
     r = F.col("s") / ((F.col("n") - F.col("lag")) * F.col("v"))
     return g.select("lag", _r(r).alias("r"), (F.abs(r) > 2 / F.sqrt(F.col("n") - F.col("lag"))).alias("significant"))
 

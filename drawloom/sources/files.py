@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,11 @@ def tolerant_history(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.col("idx").cast("bigint").alias("idx"), F.coalesce(F.col("x").try_cast("bigint"), F.when(F.col("x").startswith("{"), item("full_state", "draw", "number", "value", "result"))).alias("draw"))
 
 
-def survivors(spark: SparkSession, path: str) -> DataFrame:
-    """Survivor files as a list, or wrapped in ``results`` with lists, told apart per record; later files win per seed."""
+def survivors(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Survivor files as a list, or wrapped in ``results`` with lists, told apart per record; later files win per seed. ``lines``: one JSON text a line."""
     inner = ",".join(p.strip().replace(" ", ":", 1) for p in SURVIVOR.split(","))
     schema = f"{SURVIVOR}, survivors array<struct<{inner}>>, results array<struct<survivors:array<struct<{inner}>>>>"
-    df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
+    df = spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("_file", F.input_file_name())
     names = [p.split()[0] for p in SURVIVOR.replace(", ", ",").split(",")]
     flat = F.when(F.col("results").isNotNull(), F.flatten(F.transform("results", lambda r: r["survivors"]))).when(F.col("survivors").isNotNull(), F.col("survivors")).otherwise(F.array(F.struct(*names)))
     x = df.select("_file", F.explode(flat).alias("s")).select("_file", "s.*").where("seed IS NOT NULL")
@@ -83,3 +85,22 @@ def export(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> dict
     for name, d in tables.items():
         d.write.option("ignoreNullFields", False).json(f"{path}/{name}")
     return {name: f"{path}/{name}" for name in tables}
+
+
+def load_survivors(spark: SparkSession, base: str) -> DataFrame:
+    """Survivors of ``<base>.parquet`` if that is there, else of ``<base>.json`` in any shape, else an error."""
+    there = lambda p: (h := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(h)
+    if there(f"{base}.parquet"):
+        return spark.read.parquet(f"{base}.parquet")
+    if there(f"{base}.json"):
+        return survivors(spark, f"{base}.json", lines=True)
+    raise FileNotFoundError(base)
+
+
+def write_summary(df: DataFrame, path: str, score: str, ident: str, config: dict) -> dict[str, str]:
+    """A text summary of a result (rows, best) and its configuration as JSON; gives the paths."""
+    out = {k: f"{path}/{k}" for k in ("summary", "config")}
+    a = df.agg(F.count(F.lit(1)).cast("string").alias("rows"), F.max(F.struct(F.col(score), F.col(ident)))[ident].cast("string").alias("best"))
+    a.select(F.explode(F.array(*(F.concat(F.lit(f"{c}: "), F.coalesce(c, F.lit(""))) for c in ("rows", "best")))).alias("value")).coalesce(1).write.text(out["summary"])
+    df.sparkSession.createDataFrame([(json.dumps(config, sort_keys=True, separators=(",", ":")),)], "value string").coalesce(1).write.text(out["config"])
+    return out
