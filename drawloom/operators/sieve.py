@@ -253,12 +253,21 @@ def accumulate(store: DataFrame, new: DataFrame, key: str = "seed", score: str =
     return top.select(key, *(F.col(f"_r.{c}").alias(c) for c in cols)).select(*store.columns)
 
 
-def adaptive_threshold(seeds_from: int, seeds_to: int, values: list[int], family: str, spark: SparkSession, pilots: int = 128, sigmas: float = 2.0) -> DataFrame:
-    """Mean plus some standard deviations of the match rates of evenly spaced pilot seeds, clamped to 0.05..0.95."""
+def adaptive_threshold(seeds_from: int, seeds_to: int, values: list[int], family: str, spark: SparkSession, pilots: int = 128) -> DataFrame:
+    """One row: pilots, mean, sd, phase1, phase2. Thresholds of the two phases from the match rates of evenly spaced pilot seeds at skip 0.
+
+    phase1 is the mean and three standard deviations (two below 50 pilots), clamped; phase2 a quarter above it or 0.85 of the best
+    pilot, whichever is more, clamped. Without pilots they are 0.15 and 0.7.
+    """
     step = max(1, (seeds_to - seeds_from) // pilots)
-    p = spark.range(seeds_from, seeds_to, step).withColumnRenamed("id", "seed").limit(pilots)
-    r = fixed_skip(p, values, family, (0, 0), 0.0)
-    return r.agg(F.count(F.lit(1)).alias("pilots"), F.avg("match_rate").alias("mean"), F.stddev_pop("match_rate").alias("sd")).withColumn("threshold", F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("mean") + sigmas * F.col("sd"))))
+    p = spark.range(seeds_from, min(seeds_to, seeds_from + pilots * step), step).withColumnRenamed("id", "seed")
+    r = fixed_skip(p, values, family, (0, 0), 0.0).agg(F.count(F.lit(1)).alias("pilots"), F.avg("match_rate").alias("mean"), F.stddev_pop("match_rate").alias("sd"), F.max("match_rate").alias("_top"))
+    clamp = lambda lo, hi, x: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    one = F.when(F.col("pilots") == 0, 0.15).when(F.col("pilots") < 50, clamp(0.001, 0.2, F.col("mean") + 2 * F.col("sd"))).otherwise(clamp(0.005, 0.25, F.col("mean") + 3 * F.col("sd")))
+    r = r.withColumn("_one", one)
+    best = F.when(F.col("_top") > F.col("_one"), F.col("_top") * 0.85).otherwise(F.col("_one") + 0.25)
+    two = F.when(F.col("pilots") == 0, 0.7).otherwise(clamp(0.6, 0.9, F.greatest(F.col("_one") + 0.25, best)))
+    return r.select("pilots", "mean", "sd", F.round("_one", 3).alias("phase1"), F.round(two, 3).alias("phase2"))
 
 
 def hybrid_reverse(seeds: DataFrame, values: list[int], family: str, threshold: float, offset: int = 0, strategies: list[tuple[str, int, int]] | None = None) -> DataFrame:

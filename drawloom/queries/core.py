@@ -102,6 +102,28 @@ m AS (SELECT src_table, writer_id, file_no, path, max(now) AS now, max(was) AS w
 SELECT src_table, writer_id, file_no, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'retyped' END AS change_kind, path AS field_path, coalesce(was, '') AS old_value, coalesce(now, '') AS new_value FROM m WHERE was IS DISTINCT FROM now"""
 
 
+def p5_unresolved(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes of ``p5_found`` with each rename taken apart into what went and what came: the same as ``p5_differences``."""
+    c = p5_found(spark, folder)
+    base = [F.col(x) for x in ("src_table", "writer_id", "file_no")]
+    ren = c.where("change_kind = 'renamed'")
+    went = ren.select(*base, F.lit("removed").alias("change_kind"), "field_path", "old_value", F.lit("").alias("new_value"))
+    came = ren.select(*base, F.lit("added").alias("change_kind"), F.col("new_value").alias("field_path"), F.lit("").alias("old_value"), F.col("old_value").alias("new_value"))
+    return c.where("change_kind <> 'renamed'").unionByName(went).unionByName(came)
+
+
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of both consistent tables per writer."""
+    out = None
+    for n in _DRIFTING:
+        d = _p5_records(spark, folder, n).groupBy("writer_id").agg(F.count(F.lit(1)).alias("n_records")).select(F.lit(n).alias("src_table"), "writer_id", "n_records")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+P5_RECORDS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS src_table, writer_id, count(*) AS n_records FROM (SELECT DISTINCT writer_id, file_no, line_no, raw FROM {n}) WHERE CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE FALSE END GROUP BY writer_id" for n in _DRIFTING)
+
+
 def _p5_records(spark: SparkSession, folder: str, name: str) -> DataFrame:
     f = _fields(spark, folder, [name])
     rows = table(spark, folder, name).dropDuplicates(["writer_id", "file_no", "line_no", "raw"])
@@ -119,8 +141,8 @@ def p5_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_counts": p4_counts, "p4_split": p4_split, "p5_found": p5_found, "p5_differences": p5_differences, "p5_incidents": p5_incidents, "p5_registry": p5_registry}
+    return {"p4_found": p4_found, "p4_counts": p4_counts, "p4_split": p4_split, "p5_found": p5_found, "p5_differences": p5_differences, "p5_unresolved": p5_unresolved, "p5_records": p5_records, "p5_incidents": p5_incidents, "p5_registry": p5_registry}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _p4_sql(), "p5_differences": P5_DIFFERENCES_SQL, "p4_split": _P4_SPLIT_SQL.replace("@FOUND@", _p4_sql()), "p4_counts": f"SELECT ref_field, month_key, why, count(*) AS n_refs FROM ({_p4_sql()}) GROUP BY ALL"}
+    return {"p4_found": _p4_sql(), "p5_differences": P5_DIFFERENCES_SQL, "p5_unresolved": P5_DIFFERENCES_SQL, "p5_records": P5_RECORDS_SQL, "p4_split": _P4_SPLIT_SQL.replace("@FOUND@", _p4_sql()), "p4_counts": f"SELECT ref_field, month_key, why, count(*) AS n_refs FROM ({_p4_sql()}) GROUP BY ALL"}

@@ -230,10 +230,15 @@ def digit_sequential_sieve(spark, folder):
     return S.digit_sequential(S.seed_space(spark, 0, N), window_values(spark, folder), "java_lcg", (0, 5))
 
 
-@query()
+_PILOTS = ", ".join(f"({p - 1}, {a}, {c})" for p, (a, c) in G.jumps(G.FAMILIES["java_lcg"].affine, list(range(1, K + 1))).items())
+
+
+@query(f"""WITH {DRAWS_SQL}, st(i, a, c) AS (VALUES {_PILOTS}), m AS (SELECT q.range * 7812 AS seed, avg(CAST(((CAST(((CAST(q.range * 7812 AS HUGEINT) * st.a + st.c) % 281474976710656) AS BIGINT) >> 16) & 4294967295) % 1000 = d.draw AS INT)) AS r FROM range(128) q, st JOIN draws d ON d.idx = st.i GROUP BY 1),
+t AS (SELECT count(*) AS pilots, avg(r) AS mean, stddev_pop(r) AS sd, max(r) AS top FROM m), o AS (SELECT *, greatest(0.005, least(0.25, mean + 3 * sd)) AS one FROM t)
+SELECT pilots, round(mean, 9) AS mean, round(sd, 9) AS sd, round(one, 3) AS phase1, round(greatest(0.6, least(0.9, greatest(one + 0.25, CASE WHEN top > one THEN top * 0.85 ELSE one + 0.25 END))), 3) AS phase2 FROM o""")
 def adaptive_thresholds(spark, folder):
-    """Threshold from pilot seeds."""
-    return S.adaptive_threshold(0, 1_000_000, window_values(spark, folder), "java_lcg", spark)
+    """Thresholds of both phases from pilot seeds."""
+    return S.adaptive_threshold(0, 1_000_000, window_values(spark, folder), "java_lcg", spark).withColumns({c: F.round(c, 9) for c in ("mean", "sd")})
 
 
 @query("SELECT f || k AS generator, f AS family, b AS seed_bits, a AS affine, k LIKE '%reverse%' AS reverse, k LIKE '%hybrid%' AS hybrid FROM (VALUES ('xorshift32', 32, FALSE), ('java_lcg', 48, TRUE), ('minstd', 32, TRUE), ('xorshift128', 32, FALSE), ('xorshift64', 64, FALSE), ('pcg32', 64, FALSE), ('lcg32', 32, TRUE), ('xoshiro256pp', 64, FALSE), ('philox4x32', 64, FALSE), ('sfc64', 64, FALSE), ('mt19937', 32, FALSE)) f(f, b, a), (VALUES (''), ('_hybrid'), ('_reverse'), ('_hybrid_reverse')) k(k)")
