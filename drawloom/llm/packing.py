@@ -7,7 +7,8 @@ one size are placed run by run, which gives what first-fit decreasing gives. Gro
 against one run over all items is at most part of one container per group. A group's memory doesn't grow with the data.
 
 Defined results: sizes that are null count as 0; items of size 0 go to the group's first container. Repeated rows are items of
-their own. Ties in size are in the order of the id. An empty table gives no rows. Containers are numbered by group and place.
+their own. Ties in size are in the order of the id. An empty table gives no rows. Containers are numbered by group and place,
+the same in every run.
 """
 
 from __future__ import annotations
@@ -75,8 +76,9 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int, group_items: in
     kind = src.schema["_id"].dataType.simpleString()
     full = F.when(F.col("_n") > capacity, F.floor(F.col("_n") / capacity)).otherwise(0).cast("bigint")
     x = src.withColumn("_full", full).withColumn("_rest", F.col("_n") - F.col("_full") * capacity)
-    # an id that is there very many times must not fill one group, so the row's place within its partition has a say
-    x = x.withColumn("_g", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id().bitwiseAND(F.lit(1023))), F.lit(groups)))
+    # equal rows are numbered, so that those of an id that is there very many times don't fill one group, and every run gives the same groups
+    x = x.groupBy(*x.columns).agg(F.count(F.lit(1)).alias("_c")).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"))))
+    x = x.withColumn("_g", F.pmod(F.xxhash64("_id", "_n", "_c"), F.lit(groups))).drop("_c")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["_g"].iloc[0])

@@ -205,6 +205,20 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return box.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("load") / CAPACITY).alias("least"), F.max("load").alias("fullest"), F.sum("load").alias("tokens"))
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents packed, and whether no container is overfull, no document is cut that fits, cut ones give full pieces and a rest, and no
+    more containers are used than the least possible and one a group."""
+    p = p7_containers(spark, folder)
+    docs = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.sum((F.col("n_tokens") == CAPACITY).cast("int")).alias("full"))
+    d = docs.agg(F.count(F.lit(1)).alias("documents"), F.min((F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY))) & (F.col("full") >= F.col("pieces") - 1)).alias("whole"))
+    box = p.groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    c = box.agg((F.max("load") <= CAPACITY).alias("fits"), (F.count(F.lit(1)) - F.ceil(F.sum("load") / CAPACITY) <= F.count_distinct(F.shiftright("container", 32))).alias("tight"))
+    return d.crossJoin(F.broadcast(c)).select("documents", "whole", "fits", "tight")
+
+
+P7_CHECK_SQL = "SELECT count(*) AS documents, TRUE AS whole, TRUE AS fits, TRUE AS tight FROM documents"
+
+
 #: A key for tests; a deployment gives its own.
 SECRET = "not a secret"
 
@@ -249,6 +263,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_check": p6_check,
         "p7_containers": p7_containers,
         "p7_fill": p7_fill,
+        "p7_check": p7_check,
         "p8_found": p8_found,
         "p8_masked": p8_masked,
         "p8_surrogates": p8_surrogates,
@@ -257,4 +272,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p2_digests": P2_DIGESTS_SQL, "p3_found": P3_SQL, "p3_skipping": P3_SKIPPING_SQL, "p6_check": P6_CHECK_SQL, "p8_report": P8_REPORT_SQL}
+    return {"p1_distinct_seeds": P1_SEEDS_SQL, "p1_distinct_studies": P1_STUDIES_SQL, "p2_rank_check": P2_RANK_SQL, "p2_digests": P2_DIGESTS_SQL, "p3_found": P3_SQL, "p3_skipping": P3_SKIPPING_SQL, "p6_check": P6_CHECK_SQL, "p7_check": P7_CHECK_SQL, "p8_report": P8_REPORT_SQL}

@@ -49,3 +49,13 @@ def test_odd_tables(spark):
     df = spark.createDataFrame([(1, 0), (1, 0), (2, None)], "doc_id long, n int")
     assert {r.container for r in packing.pack(df, "doc_id", "n", 10).collect()} == {0}
     assert packing.pack(df.where("false"), "doc_id", "n", 10).count() == 0
+
+
+def test_equal_rows_are_spread_and_runs_agree(spark):
+    """One id a third of all rows, dealt over the groups; the same containers however the rows come."""
+    rows = [(7, 30)] * 3000 + [(i, i % 90) for i in range(100, 6000)]
+    df = spark.createDataFrame(rows, "i long, n long")
+    a, b = (sorted(map(tuple, packing.pack(d, "i", "n", 100, group_items=500).collect())) for d in (df, df.repartition(5)))
+    assert a == b and len(a) == len(rows)
+    hot = [x[3] >> 32 for x in a if x[0] == 7]
+    assert len(set(hot)) == 18 and max(hot.count(g) for g in set(hot)) < 300
