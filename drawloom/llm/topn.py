@@ -74,8 +74,10 @@ def cluster(items: DataFrame, group: list[str], score: str, ident: str, row_grou
     if same is None:
         parted = items.select(*group, score, ident).repartitionByRange(*order)
     else:
+        # the order within a group only has to spread a hot one: a hash of ``same`` keeps what is sampled for the ranges small
         keys = list(dict.fromkeys([*group, *same]))
-        parted = _unique(items.select(*dict.fromkeys([*keys, score, ident])).repartitionByRange(*keys), group, score, ident, same)
+        x = items.select(*dict.fromkeys([*keys, score, ident])).withColumn("_h", F.xxhash64(*same))
+        parted = _unique(x.repartitionByRange(*group, "_h"), group, score, ident, ["_h", *same])
     (
         parted.sortWithinPartitions(*order)
         .write.option("parquet.block.size", row_group_bytes)
