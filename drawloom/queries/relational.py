@@ -349,7 +349,7 @@ def schema_hash(spark, folder):
     return spark.range(1).select(F.lit(names).alias("names"), F.substring(F.sha2(F.lit(names), 256), 1, 16).alias("schema_hash"))
 
 
-@query("SELECT trial_number, count(*) AS n FROM step1_trial_history WHERE skip_min BETWEEN 0 AND skip_max AND skip_max <= 100 AND window_size BETWEEN 1 AND 1000 AND forward_threshold BETWEEN 0.01 AND 1 AND reverse_threshold BETWEEN 0.01 AND 1 GROUP BY trial_number")
+@query("SELECT trial_number, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM step1_trial_history) WHERE skip_min BETWEEN 0 AND skip_max AND skip_max <= 100 AND window_size BETWEEN 1 AND 1000 AND forward_threshold BETWEEN 0.01 AND 1 AND reverse_threshold BETWEEN 0.01 AND 1 GROUP BY trial_number")
 def valid_configs(spark, folder):
     """Trials whose configuration lies within the bounds; a repeated id counts once."""
     t = table(spark, folder, "step1_trial_history").select("id", "trial_number", "skip_min", "skip_max", "window_size", "forward_threshold", "reverse_threshold").dropDuplicates(["id"])
