@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from drawloom.operators import generators as G
 from drawloom.operators import windows as W
 
-#: Counts and ratios of a trial that its survivors carry.
+#: Counts and ratios of a trial that its survivors carry. Fixed names.
 METADATA = [
     "forward_count", "reverse_count", "bidirectional_count", "intersection_count", "intersection_ratio", "survivor_overlap_ratio",
     "skip_min", "skip_max", "skip_range", "skip_mean", "skip_std", "skip_entropy", "bidirectional_selectivity", "survivor_velocity",
     "velocity_acceleration", "intersection_weight", "forward_only_count", "reverse_only_count",
 ]
-#: Columns of the row of global features.
+#: Columns of the row of global features. Fixed names.
 GLOBAL = [
     "frequency_bias_ratio", "high_variance_count", "marker_390_variance", "marker_575_variance", "marker_804_variance", "power_of_two_bias", "regime_age",
     "regime_change_detected", "reseed_probability", "residue_1000_entropy", "residue_125_entropy", "residue_8_entropy", "suspicious_gap_percentage", "temporal_stability",
