@@ -17,7 +17,7 @@ from drawloom.operators import windows as W
 from drawloom.queries.sieve import _BOTH, K, N, SKIPS, T, window_values
 from drawloom.sources import files
 from drawloom.sources.tables import DRAWS_SQL, draws, table
-from drawloom.storage import scratch_path
+from drawloom.storage import scratch_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -320,7 +320,10 @@ def chunk_scan(spark, folder):
 
 @query("SELECT which, count(*) AS n, CAST(sum(seed * pos) AS BIGINT) AS checked FROM (SELECT which, seed, row_number() OVER (PARTITION BY which ORDER BY seed) - 1 AS pos FROM (SELECT 'forward' AS which, o_orderkey AS seed FROM orders UNION SELECT 'reverse', l_orderkey FROM lineitem WHERE l_quantity > 40 UNION SELECT 'bidirectional', l_orderkey FROM lineitem WHERE l_quantity > 40)) GROUP BY which")
 def sorted_survivors(spark, folder):
-    """Survivors of both passes and of either, each once, written sorted by seed and read back in order."""
+    """Survivors of both passes and of either, each once, written sorted by seed and read back in order.
+
+    Sums are exact: ``checked`` is a bigint, as in the SQL, unless a sum is beyond 64 bits, where the SQL ends by an error; then it is a decimal(38,0).
+    """
     f = table(spark, folder, "orders").select(F.col("o_orderkey").alias("seed"))
     r = table(spark, folder, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("seed"))
     paths = files.write_survivors(f, r, scratch_path(spark, "survivors"))
@@ -330,7 +333,10 @@ def sorted_survivors(spark, folder):
         # files in the order of their names hold ascending seeds
         d = R.ranked(d, [F.col("seed")], "pos").select(F.lit(which).alias("which"), "seed", "pos")
         out = d if out is None else out.unionByName(d)
-    return out.groupBy("which").agg(_n().alias("n"), F.sum(F.col("seed") * F.col("pos")).alias("checked"))
+    # three rows at most; written, because the type is told from them
+    t = written(out.groupBy("which").agg(_n().alias("n"), F.sum(F.col("seed").cast("decimal(19,0)") * F.col("pos")).alias("checked")), "checked")
+    beyond = t.where(F.col("checked").isNotNull() & F.col("checked").try_cast("bigint").isNull())
+    return t.withColumn("checked", F.col("checked").cast("bigint")) if beyond.isEmpty() else t
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -31,3 +31,14 @@ def test_valid_configs_counts_repeated_ids_once(spark, tmp_path):
     t = pd.DataFrame({"id": [1, 1, 2, 3], "trial_number": [7, 7, 7, 8], "skip_min": 0, "skip_max": 10, "window_size": [8, 8, 8, 0], "forward_threshold": 0.3, "reverse_threshold": 0.3})
     t.to_parquet(tmp_path / "step1_trial_history.parquet")
     assert [tuple(r) for r in entry.queries()["valid_configs"](spark, str(tmp_path)).collect()] == [(7, 2)]
+
+
+def test_sorted_survivors_sums_beyond_64_bits(spark, tmp_path):
+    for name, top in (("small", 3), ("large", 1 << 62)):
+        (tmp_path / name).mkdir()
+        pd.DataFrame({"o_orderkey": [top, top - 1, top - 2]}).to_parquet(tmp_path / name / "orders.parquet")
+        pd.DataFrame({"l_orderkey": [top, top, top - 2, top - 1], "l_quantity": [41.0, 50.0, 41.0, 40.0]}).to_parquet(tmp_path / name / "lineitem.parquet")
+        df = entry.queries()["sorted_survivors"](spark, str(tmp_path / name))
+        want = {("forward", 3, top - 1 + 2 * top), ("reverse", 2, top), ("bidirectional", 2, top)}
+        assert {tuple(map(str, r)) for r in df.collect()} == {tuple(map(str, r)) for r in want}
+        assert df.schema["checked"].dataType.simpleString() == ("bigint" if name == "small" else "decimal(38,0)")
